@@ -2,21 +2,45 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import bpe, decontam, langid, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def digests(ids: bytes, decoded: str) -> tuple[int, str, str]:
+        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+
+    columns = [("n_tokens", pa.int64(), "long"), ("ids_sha256", pa.string(), "string"), ("decoded_sha256", pa.string(), "string")]
+    return bpe.coded(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), digests, columns)
+
+
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 4 == 2)
+    taught = docs.filter("not coalesce(held_out, false)").select("doc_id", "text", "lang")
+    model = langid.fit(taught, public_tokenizers.path("piece_bpe_32k.model"))
+    found = langid.identify(docs, model)
+    return found.withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 4 == 2).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), words=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op10_simhash": op10_simhash}
+QUERIES = {f.__name__: f for f in (op2_bpe, op4_langid, op9_decontamination, op10_simhash)}
 
 ORACLE_SQL: dict[str, str] = {}
