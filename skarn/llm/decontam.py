@@ -151,4 +151,5 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = TH
 def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item; all columns as they were."""
     hits = contained_items(docs, benchmark, threshold, shingle).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(written(hits, "leaks"), docs.doc_id.eqNullSafe(F.col("_hit")), "left_anti")
+    hits = written(hits, "leaks")
+    return docs.join(hits, docs["doc_id"].eqNullSafe(hits["_hit"]), "left_anti")

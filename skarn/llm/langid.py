@@ -196,11 +196,11 @@ def fit(docs: DataFrame, vocabulary_path: str, train_docs: int = TRAIN_DOCS, rou
     """A model from the ``text`` and ``lang`` of ``docs``; rows where either is null teach nothing.
 
     Each language with more than ``train_docs`` documents gives a sample of about so many, drawn by a hash of the
-    whole row; that bound is the only one. Word counts are made by Spark, and each round of expectation-maximisation is
+    doc_id (of the text, if there is none); that bound is the only one. Word counts are made by Spark, and each round of expectation-maximisation is
     a job over them whose result is at most one row for each piece and language. Without a row the model knows no
     language and finds every text undetermined.
     """
-    rows = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.pmod(F.xxhash64(*docs.columns), F.lit(1 << 20)).alias("draw")).filter("text is not null and lang is not null")
+    rows = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.pmod(F.xxhash64("doc_id" if "doc_id" in docs.columns else "text"), F.lit(1 << 20)).alias("draw")).filter("text is not null and lang is not null")
     sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     languages = sorted(sizes)
     pieces = vocabulary(vocabulary_path)
@@ -262,4 +262,4 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.35) -> DataF
     """``docs`` without texts that are undetermined or whose language is less sure than ``least``; all columns as they were."""
     rejected = identify(docs, model).filter((F.col("lang_pred") == UNDETERMINED) | (F.col("score") < least))
     rejected = written(rejected.select(F.col("doc_id").alias("_rejected")).distinct(), "rejected")
-    return docs.join(rejected, docs.doc_id.eqNullSafe(F.col("_rejected")), "left_anti")
+    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["_rejected"]), "left_anti")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, simhash
+from . import bpe, decontam, langid, pii, quality, shards, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,29 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 4 == 2).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def told(spans: str) -> str:
+        return f"concat_ws(',', transform({spans}, s -> concat(s.kind, ':', s.start, ':', s.end)))"
+
+    found = pii.find(_table(spark, sf_dir, "documents"))
+    counts = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) as long)").alias(f"n_{k}") for k in pii.BASE]
+    base = F.sha2(F.expr(told("filter(spans, s -> s.base)")), 256)
+    return found.select("doc_id", *counts, base.alias("base_sha256"), F.expr(told("spans")).alias("spans"))
+
+
+def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = shards.write_shards(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end=0)
+    ids = shards.read_shards(found)
+    return ids.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judge(_table(spark, sf_dir, "documents"))
+    failed = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
+    found = found.withColumn("base_failed", failed).withColumn("kept", F.expr("not base_failed and kept"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior", "votes")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -41,6 +64,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op4_langid, op9_decontamination, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op4_langid, op5_pii, op6_shards, op7_quality, op9_decontamination, op10_simhash)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -120,4 +120,4 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
 def keep_first(docs: DataFrame, words: int = 3) -> DataFrame:
     """``docs`` without near duplicates: of each component the row with the smallest doc_id stays, all columns as they were."""
     first = near_duplicates(docs, words).select(F.col("component_id").alias("_keep")).distinct()
-    return docs.join(first, docs.doc_id.eqNullSafe(F.col("_keep"))).drop("_keep").dropDuplicates(["doc_id"])
+    return docs.join(first, docs["doc_id"].eqNullSafe(first["_keep"]), "left_semi").dropDuplicates(["doc_id"])
