@@ -9,13 +9,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, pii, quality, shards, simhash
+from . import bpe, decontam, html, langid, licenses, pii, quality, shards, simhash, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+RULES = "allow com/, block example.com/en/, allow www.example.com/en/, block net/es/, block net/fr/"
+
+
+def op1_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages"), urls.parse_rules(RULES))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     def digests(ids: bytes, decoded: str) -> tuple[int, str, str]:
         return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
@@ -24,6 +31,14 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.coded(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), digests, columns)
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` have no paths: a source is a tree of folders by hundreds and thousands of doc_id."""
+    docs = _table(spark, sf_dir, "documents")
+    folder = lambda n: F.floor(F.col("doc_id") / n).cast("string")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), folder(1000), folder(100), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licenses.scan(docs.withColumn("path", path))
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 4 == 2)
     taught = docs.filter("not coalesce(held_out, false)").select("doc_id", "text", "lang")
@@ -55,6 +70,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior", "votes")
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -64,6 +83,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op4_langid, op5_pii, op6_shards, op7_quality, op9_decontamination, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_urls, op2_bpe, op3_licenses, op4_langid, op5_pii, op6_shards, op7_quality, op8_html, op9_decontamination, op10_simhash)}
 
 ORACLE_SQL: dict[str, str] = {}
