@@ -19,11 +19,11 @@ UNDETERMINED = "und"
 #: Sign of a word's start in the vocabulary.
 START = "▁"
 #: Letters of a piece at most, and of what is scored as one word; longer runs of letters are cut into such words.
-PIECE, WORD = 10, 32
+PIECE, WORD = 8, 32
 #: Probability of a letter that the vocabulary lacks, the same in every language.
 UNKNOWN = 1e-7
 #: Documents for each language that training reads, about; documents whose words are scored at once; words kept scored.
-TRAIN_DOCS, TOGETHER, KEPT_WORDS = 6000, 256, 300_000
+TRAIN_DOCS, TOGETHER, KEPT_WORDS = 6000, 512, 500_000
 ROUNDS = 3
 MIX = np.array([pow(0xD6E8FEB86659FD93, 2 * i + 1, 1 << 64) for i in range(PIECE)], np.uint64)
 
@@ -60,33 +60,41 @@ class PieceIndex:
     def _value(piece: str) -> int:
         return sum(ord(c) * int(m) for c, m in zip(piece, MIX, strict=False)) & (1 << 64) - 1
 
-    def stretches(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Piece of each (word, length - 1, start), or the number of pieces; and the words' lengths."""
+    def stretches(self, words: list[str]) -> tuple[list[list[tuple[np.ndarray, np.ndarray]]], np.ndarray]:
+        """For each (length - 1, start): the words with a piece there, and which; and the words' lengths."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         wide = int(sizes.max())
-        letters = np.array(words, f"U{wide}").view(np.uint32).reshape(len(words), wide).astype(np.uint64)
-        found = np.full((len(words), PIECE, wide), len(self.pieces), np.int32)
-        value = np.zeros((len(words), wide), np.uint64)
+        letters = np.ascontiguousarray(np.array(words, f"U{wide}").view(np.uint32).reshape(len(words), wide).T).astype(np.uint64)
+        found, value = [], np.zeros((wide, len(words)), np.uint64)
         for k in range(min(PIECE, wide)):
             n = wide - k
-            value = value[:, :n] + letters[:, k:] * MIX[k]
-            row, start = np.nonzero(self.bits[(value >> np.uint64(46)).astype(np.int64)] & (letters[:, k:] > 0))
-            at = np.minimum(np.searchsorted(self.values, v := value[row, start]), len(self.values) - 1)
+            value = value[:n] + letters[k:] * MIX[k]
+            start, row = np.nonzero(self.bits[(value >> np.uint64(46)).astype(np.int32)] & (letters[k:] > 0))
+            at = np.minimum(np.searchsorted(self.values, v := value[start, row]), len(self.values) - 1)
             hit = self.values[at] == v
-            found[row[hit], k, start[hit]] = self.order[at[hit]]
+            start, row, piece = start[hit], row[hit], self.order[at[hit]]
+            ends = np.searchsorted(start, np.arange(n + 1))
+            found.append([(row[a:b], piece[a:b]) for a, b in zip(ends, ends[1:], strict=False)])
         return found, sizes
 
 
-def _forward(found: np.ndarray, chance) -> np.ndarray:
-    """(word, position, language): probability of all segmentations up to a position."""
-    n, _, wide = found.shape
-    first = chance(found[:, 0, 0])
-    alpha = np.zeros((wide + 1, n, first.shape[1]))
+def _dense(words: np.ndarray, chances: np.ndarray, n: int) -> np.ndarray:
+    """Chance of one letter for each of n words: of its piece where there is one, else ``UNKNOWN``."""
+    out = np.full((n, chances.shape[1]), UNKNOWN)
+    out[words] = np.maximum(chances, UNKNOWN)
+    return out
+
+
+def _forward(found: list, n: int, wide: int, languages: int, chance) -> np.ndarray:
+    """(position, word, language): probability of all segmentations up to a position."""
+    alpha = np.zeros((wide + 1, n, languages))
     alpha[0] = 1
     for j in range(1, wide + 1):
-        for k in range(min(PIECE, j)):
-            p = chance(found[:, k, j - k - 1])
-            alpha[j] += alpha[j - k - 1] * (np.maximum(p, UNKNOWN) if k == 0 else p)
+        alpha[j] = alpha[j - 1] * _dense(found[0][j - 1][0], chance(*found[0][j - 1]), n)
+        for k in range(1, min(PIECE, j)):
+            words, pieces = found[k][j - k - 1]
+            if len(words):
+                alpha[j, words] += alpha[j - k - 1, words] * chance(words, pieces)
     return alpha
 
 
@@ -108,34 +116,35 @@ class Model:
     def score(self, words: list[str]) -> np.ndarray:
         """(word, language) log probabilities of marked words."""
         index = self.__dict__.setdefault("_index", PieceIndex(self.pieces))
-        table = np.vstack([self.chance, np.zeros(len(self.languages))])
         out = np.zeros((len(words), len(self.languages)))
         for rows in _by_length(words):
             found, sizes = index.stretches([words[i] for i in rows])
-            out[rows] = np.log(_forward(found, table.__getitem__)[sizes, np.arange(len(rows))])
+            alpha = _forward(found, len(rows), int(sizes.max()), len(self.languages), lambda _, pieces: self.chance[pieces])
+            out[rows] = np.log(alpha[sizes, np.arange(len(rows))])
         return out
 
     def expected(self, words: list[str], language: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """(piece, language) expected uses over all segmentations of words, each of one language and counted so often."""
         index = self.__dict__.setdefault("_index", PieceIndex(self.pieces))
-        table = np.vstack([self.chance, np.zeros(len(self.languages))])
-        uses = np.zeros(table.size)
+        uses = np.zeros(self.chance.size)
         for rows in _by_length(words):
             found, sizes = index.stretches([words[i] for i in rows])
-            lang, n, wide = language[rows], np.arange(len(rows)), found.shape[2]
-            chance = lambda p, lang=lang: table[p, lang][:, None]
-            alpha = _forward(found, chance)[:, :, 0]
-            beta = np.zeros((wide + 1, len(rows)))
-            beta[sizes, n] = 1
-            weight = counts[rows] / alpha[sizes, n]
+            lang, n, wide = language[rows], len(rows), int(sizes.max())
+            chance = lambda words, pieces, lang=lang: self.chance[pieces, lang[words]][:, None]
+            alpha = _forward(found, n, wide, 1, chance)[:, :, 0]
+            beta = np.zeros((wide + 1, n))
+            beta[sizes, np.arange(n)] = 1
+            weight = counts[rows] / alpha[sizes, np.arange(n)]
             for i in range(wide - 1, -1, -1):
+                beta[i] += beta[i + 1] * _dense(found[0][i][0], chance(*found[0][i]), n)[:, 0]
                 for k in range(min(PIECE, wide - i)):
-                    piece = found[:, k, i]
-                    p = table[piece, lang]
-                    through = (np.maximum(p, UNKNOWN) if k == 0 else p) * beta[i + k + 1]
-                    beta[i] += through
-                    uses += np.bincount(piece * len(self.languages) + lang, alpha[i] * through * weight, minlength=table.size)
-        return uses.reshape(table.shape)[:-1]
+                    words_, pieces = found[k][i]
+                    if len(words_):
+                        through = chance(words_, pieces)[:, 0] * beta[i + k + 1, words_]
+                        if k:
+                            beta[i, words_] += through
+                        uses += np.bincount(pieces * len(self.languages) + lang[words_], alpha[i, words_] * through * weight[words_], minlength=len(uses))
+        return uses.reshape(self.chance.shape)
 
 
 class Scorer:
