@@ -20,7 +20,9 @@ import re
 import struct
 from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import islice
+from contextlib import suppress
+from functools import lru_cache
+from itertools import filterfalse, islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,17 +42,24 @@ ENTRY, INDEX, FOOTER = struct.Struct("<BBQ"), struct.Struct("<QQQIBB"), struct.S
 BLOCK_BYTES, BLOOM_BITS, HASHES = 1 << 18, 10, 7
 #: Fixed value: how the vocabulary's library splits a text before merging.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
-#: Pieces of text whose ids a task keeps; characters above which a text is split piecewise; pieces joined at once.
-KEPT_PIECES, LONG, SPAN = 400_000, 1 << 20, 1 << 18
+#: The same split where ``RARE`` finds nothing: there its classes are these ranges, which the standard library scans faster.
+LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u02c1"
+COMMON = re.compile(rf" ?[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^\s0-9{LETTERS}]+|\s+(?!\S)|\s+")
+RARE = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe\u02c2-\u200f\u2028-\u202f\u205f-\U0010ffff]")
+#: Pieces that the library splits off again wherever they follow one another.
+PLAIN = re.compile(rf" [{LETTERS}]+")
+#: Pieces whose ids a task keeps; characters above which a text is split piecewise; pieces joined at once.
+KEPT, LONG, SPAN = 400_000, 1 << 20, 1 << 18
 
 
 class Encoder:
     """The library's ids of texts, as little-endian unsigned 32-bit integers.
 
-    The library's merges never cross the pieces that ``SPLIT`` gives, so it is asked once for each distinct piece.
+    The library's merges never cross the pieces that ``SPLIT`` gives, so it is asked once for each distinct piece, for
+    many at a time, and texts are put together from the ids of their pieces.
     """
 
-    def __init__(self, path: str, limit: int = KEPT_PIECES) -> None:
+    def __init__(self, path: str, kept: int = KEPT) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
         from tokenizers import Tokenizer
 
@@ -59,31 +68,66 @@ class Encoder:
         self.library.no_padding()
         self.added = {t.content: np.uint32(i).tobytes() for i, t in self.library.get_added_tokens_decoder().items()}
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")")
-        self.known, self.limit = {}, limit
-
-    def _learn(self, pieces: set[str]) -> None:
-        new = list(pieces.difference(self.known))
-        if len(self.known) + len(new) > self.limit:
+        vocab = self.library.get_vocab(with_added_tokens=False)
+        self.bytes_of = np.zeros(max(vocab.values()) + 1, np.int64)
+        self.bytes_of[list(vocab.values())] = list(map(len, vocab))  # a byte-level token has a sign for each byte
+        self.known, self.kept = {}, kept
+
+    def _plain(self, pieces: list[str]) -> None:
+        """Learn pieces that stay apart when joined: their ids are told apart by the bytes that they cover."""
+        for some in chunks(pieces, 256 * 16):
+            rows = list(chunks(some, 256))
+            for row, found in zip(rows, self.library.encode_batch_fast(list(map("".join, rows)), add_special_tokens=False), strict=True):
+                ids = np.array(found.ids, "<u4")
+                ends = np.cumsum(np.fromiter((len(p.encode()) for p in row), np.int64, len(row)))
+                cuts = ((np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1) * 4).tolist()
+                held = ids.tobytes()
+                self.known.update(zip(row, map(held.__getitem__, map(slice, [0, *cuts], cuts)), strict=False))
+
+    def _learn(self, new: set[str]) -> None:
+        if len(self.known) + len(new) > self.kept:
             self.known.clear()
-            new = list(pieces)
-        for some in chunks(new, 4096):
+        self._plain(list(filter(PLAIN.fullmatch, new)))
+        for some in chunks(list(filterfalse(PLAIN.fullmatch, new)), 4096):
             found = self.library.encode_batch_fast(some, add_special_tokens=False)
-            self.known.update((p, struct.pack(f"<{len(e.ids)}I", *e.ids)) for p, e in zip(some, found, strict=True))
+            self.known.update((p, struct.pack(f"<{len(e)}I", *e.ids)) for p, e in zip(some, found, strict=True))
+
+    def _together(self, lists: list[list[str]]) -> list[bytes]:
+        """Ids of lists of pieces; the pieces not yet known are learnt for all lists at once."""
+        found = [list(map(self.known.get, pieces)) for pieces in lists]
+        holes = []
+        for pieces, ids in zip(lists, found, strict=True):
+            at, i = [], -1
+            with suppress(ValueError):
+                while True:
+                    at.append(i := ids.index(None, i + 1))
+            holes.append(at)
+        self._learn({pieces[i] for pieces, at in zip(lists, holes, strict=True) for i in at})
+        for pieces, ids, at in zip(lists, found, holes, strict=True):
+            for i in at:
+                ids[i] = self.known[pieces[i]]
+        return list(map(b"".join, found))
 
     def _long(self, text: str) -> bytes:
         found, out = SPLIT.finditer(text), []
         while some := [m[0] for m in islice(found, SPAN)]:
-            self._learn(set(some))
-            out.append(b"".join(map(self.known.__getitem__, some)))
+            out += self._together([some])
         return b"".join(out)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [self.specials.split(t) if any(a in t for a in self.added) else [t] for t in texts]
-        split = [[self.added.get(p) or (p if len(p) > LONG else SPLIT.findall(p)) for p in ps] for ps in parts]
-        out = [[self._long(p) if isinstance(p, str) else p for p in ps] for ps in split]
-        self._learn(set().union(*(p for ps in out for p in ps if isinstance(p, list))))
-        get = self.known.__getitem__
-        return [b"".join(p if isinstance(p, bytes) else b"".join(map(get, p)) for p in ps) for ps in out]
+        out: list[list] = []
+        for text in texts:
+            parts = self.specials.split(text) if any(a in text for a in self.added) else [text]
+            out.append([self.added.get(p) or (self._long(p) if len(p) > LONG else (SPLIT if RARE.search(p) else COMMON).findall(p)) for p in parts])
+        lists = [p for parts in out for p in parts if isinstance(p, list)]
+        ids = iter(self._together(lists))
+        return [b"".join(p if isinstance(p, bytes) else next(ids) for p in parts) for parts in out]
+
+
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """The worker's encoder, with all that it has learnt in earlier tasks."""
+    return Encoder(path)
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -229,7 +273,7 @@ def write_shards(docs: DataFrame, vocabulary_path: str, end: int = 0, folder: st
                 part = batch.slice(low, together)
                 if writer is None:
                     path = f"{folder}/{task.partitionId():08d}-{task.taskAttemptId()}.sst"
-                    writer, encoder = Writer(path), Encoder(vocabulary_path)
+                    writer, encoder = Writer(path), encoder_of(vocabulary_path)
                 found = encoder.encode([t or "" for t in part.column(1).to_pylist()])
                 for doc_id, ids in zip(part.column(0).to_pylist(), found, strict=True):
                     writer.add(key_of(doc_id), ids + struct.pack("<I", end))
