@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from dataclasses import field as default_of
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -27,7 +28,7 @@ class Rule:
     op: str
     field: str | None = None
     version: int = 1
-    values: dict[str, str] = field(default_factory=dict)
+    values: dict[str, str] = default_of(default_factory=dict)
     layouts: tuple[str, ...] = ()
 
 

@@ -25,32 +25,38 @@ def merged(entries: DataFrame) -> DataFrame:
 
     An equal payload changes nothing, not even the time; then a conflict that people must judge leaves the entry as it
     is; then the newer time wins, and of equal times the larger signature. Because an equal payload keeps the older
-    time, this is a fold over a record's entries and no maximum: its entries meet in one row. Runs of entries that
-    repeat the payload before them are dropped before they are gathered, since they change nothing.
+    time, what an entry does depends on all before it: this is a fold, no maximum. Rows come sorted to a task by record
+    and ``seq``; the task keeps one entry at a time, however many a record has.
     """
-    key = Window.partitionBy("record_id").orderBy("seq")
-    fresh = entries.withColumn("_same", F.lag("payload_hash").over(key).eqNullSafe(F.col("payload_hash"))).withColumn("_count", F.count("*").over(Window.partitionBy("record_id")))
-    fresh = fresh.filter(~F.col("_same"))
-    item = F.struct("seq", "payload_hash", F.col("committed_timestamp").alias("ts"), F.col("commit_signature").alias("sig"), needs_human().alias("human"))
-    lists = fresh.groupBy("record_id").agg(F.sort_array(F.collect_list(item)).alias("l"), F.max("_count").alias("n_entries"))
-    start = F.struct(F.element_at("l", 1)["payload_hash"].alias("payload_hash"), F.element_at("l", 1)["ts"].alias("ts"), F.element_at("l", 1)["sig"].alias("sig"), F.element_at("l", 1)["human"].alias("human"), F.lit("first").alias("rule"), F.lit(0).alias("queued"))
-
-    def step(now: Column, x: Column) -> Column:
-        human = now["human"] | x["human"]
-        newer = (x["ts"] > now["ts"]) | ((x["ts"] == now["ts"]) & (x["sig"] > now["sig"]))
-        take = lambda rule: F.struct(x["payload_hash"].alias("payload_hash"), x["ts"].alias("ts"), x["sig"].alias("sig"), x["human"].alias("human"), F.lit(rule).alias("rule"), now["queued"].alias("queued"))
-        keep = lambda rule, more=0: F.struct(now["payload_hash"].alias("payload_hash"), now["ts"].alias("ts"), now["sig"].alias("sig"), now["human"].alias("human"), F.lit(rule).alias("rule"), (now["queued"] + more).alias("queued"))
-        return (
-            F.when(x["payload_hash"] == now["payload_hash"], keep("idempotent_identical_content"))
-            .when(human, keep("needs_human", 1))
-            .when(newer & (x["ts"] > now["ts"]), take("timestamp_lww"))
-            .when(newer, take("signature_tie_break"))
-            .when(x["ts"] < now["ts"], keep("timestamp_lww_existing_newer"))
-            .otherwise(keep("signature_tie_break_existing_won"))
-        )
-
-    rest = F.slice("l", 2, F.greatest(F.size("l") - 1, F.lit(0)))
-    return lists.withColumn("m", F.aggregate(rest, start, step)).select("record_id", "m.payload_hash", F.col("m.ts").alias("committed_timestamp"), F.col("m.sig").alias("commit_signature"), "m.rule", "m.queued", "n_entries")
+    names = ["record_id", "payload_hash", "committed_timestamp", "commit_signature", "human"]
+    rows = entries.withColumn("human", needs_human()).select("seq", *names)
+    rows = rows.repartition("record_id").sortWithinPartitions("record_id", "seq").select(*names)
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [*names[:4], "rule", "queued", "n_entries"]
+        record, now = None, []
+        for pdf in batches:
+            done = []
+            for name, payload, ts, sig, human in pdf.itertuples(index=False):
+                if name != record:
+                    if record is not None:
+                        done.append((record, *now[:3], *now[4:]))
+                    record, now = name, [payload, ts, sig, human, "first", 0, 1]
+                    continue
+                now[6] += 1
+                if payload == now[0]:
+                    now[4] = "idempotent_identical_content"
+                elif human or now[3]:
+                    now[4], now[5] = "needs_human", now[5] + 1
+                elif (ts, sig) > (now[1], now[2]):
+                    now[:5] = payload, ts, sig, human, "timestamp_lww" if ts > now[1] else "signature_tie_break"
+                else:
+                    now[4] = "timestamp_lww_existing_newer" if ts < now[1] else "signature_tie_break_existing_won"
+            yield pd.DataFrame(done, columns=columns)
+        if record is not None:
+            yield pd.DataFrame([(record, *now[:3], *now[4:])], columns=columns)
+
+    return rows.mapInPandas(fold, "record_id string, payload_hash string, committed_timestamp long, commit_signature string, rule string, queued long, n_entries long")
 
 
 def latency_metrics(rows: DataFrame, by: list[str], value: str) -> DataFrame:

@@ -1,15 +1,22 @@
-"""Cutting lineage in loops: reliable checkpoints in the folder that the cluster names."""
+"""The shared folder, and cutting lineage in loops by reliable checkpoints in it."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept as files under ``spark.checkpoint.dir`` (a folder of our own where unset)."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; one of our own where it is unset."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir", None)
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skarn-"))
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="skarn-"))
+    return (named or context.getCheckpointDir()).rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept as files in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
