@@ -176,16 +176,20 @@ class Writer:
     def _flush(self) -> None:
         if not self.rows:
             return
-        wide = any(len(i) and np.frombuffer(i, "<u4").max() >= 1 << 16 for _, i in self.rows)
-        parts, last = [], b""
+        every = np.frombuffer(b"".join([ids for _, ids in self.rows]), "<u4")
+        wide = bool(len(every)) and int(every.max()) >= 1 << 16
+        held, width = (every if wide else every.astype("<u2")).tobytes(), 4 if wide else 2
+        parts, last, at = [], b"", 0
         for key, ids in self.rows:
-            shared = len(os.path.commonprefix((key, last)))
-            parts += [ENTRY.pack(shared, len(key) - shared, len(ids) // 4), key[shared:], ids if wide else np.frombuffer(ids, "<u4").astype("<u2").tobytes()]
+            n, shared = len(ids) // 4, 0
+            while shared < len(key) and shared < len(last) and key[shared] == last[shared]:
+                shared += 1
+            parts += [ENTRY.pack(shared, len(key) - shared, n), key[shared:], held[at : (at := at + n * width)]]
             last = key
-            self.ids += len(ids) // 4
+        self.ids += len(every)
         offset, size = self._put(self.packer.compress(b"".join(parts)))
         first = self.rows[0][0]
-        self.index.append(INDEX.pack(offset, size, self.block_ids, len(self.rows), 4 if wide else 2, len(first)) + first)
+        self.index.append(INDEX.pack(offset, size, self.block_ids, len(self.rows), width, len(first)) + first)
         self.entries += len(self.rows)
         self.block_ids, self.rows, self.held = self.ids, [], 0
 
