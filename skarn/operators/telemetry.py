@@ -94,7 +94,7 @@ def record_hash() -> Column:
 
 
 def inserted(records: DataFrame, rows: DataFrame) -> DataFrame:
-    """``records`` with ``rows`` (timestamp, sensor_id, metric_id, value) appended; a later row gets a later ``seq``."""
+    """``records`` with ``rows`` (timestamp, sensor_id, metric_id, value) appended; a later row gets a later ``seq``, not always the next one."""
     last = records.agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("_last"))
     new = rows.withColumn("_row", F.monotonically_increasing_id()).join(F.broadcast(last)).withColumns({"flags": F.lit(0).cast("bigint"), "seq": F.col("_last") + 1 + F.col("_row")})
     return records.unionByName(new.drop("_last", "_row"), allowMissingColumns=True)

@@ -486,9 +486,9 @@ def r6_leaves(spark, d):
     return graph.leaves(_commits(spark, d)).select("seal")
 
 
-@query("with recursive l as (select 10 as k, 0 as depth union select l.k - p.p, depth + 1 from l, (values (3), (5)) p(p) where l.k >= p.p) select 'c' || k as node, min(depth) as depth from l group by k")
+@query("with recursive l as (select 9 as k, 0 as depth union select l.k - p.p, depth + 1 from l, (values (3), (5)) p(p) where l.k >= p.p) select 'c' || k as node, min(depth) as depth from l group by k")
 def r6_lineage(spark, d):
-    return graph.lineage(_commits(spark, d), "c10")
+    return graph.lineage(_commits(spark, d), "c9")
 
 
 @query("with recursive l as (select max(s_suppkey) as k, 0 as depth from supplier union all select k - 3, depth + 1 from l where k >= 3) select 'c' || k as node, depth from l")

@@ -141,9 +141,11 @@ def readings_from_csv(raw: DataFrame, now: int) -> DataFrame:
 
 
 def typed_cell(c: str | Column) -> Column:
-    """JSON text of a cell: an integer, else a number, else a string."""
-    v = F.trim(c if isinstance(c, Column) else F.col(c))
-    return F.when(v.rlike("^-?(0|[1-9]\\d{0,17})$"), v).when(v.rlike("^-?\\d+\\.\\d+$") & v.try_cast("double").isNotNull(), v.try_cast("double").cast("string")).otherwise(F.to_json(F.struct(v.alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(v.alias("v")))) - 6))
+    """JSON text of a cell: an integer, else a number, else a string; an absent cell is an empty string."""
+    v = F.coalesce(F.trim(c if isinstance(c, Column) else F.col(c)), F.lit(""))
+    text = F.to_json(F.struct(v.alias("v")))
+    number = v.rlike("^-?\\d+\\.\\d+$") & v.try_cast("double").isNotNull()
+    return F.when(v.rlike("^-?(0|[1-9]\\d{0,17})$"), v).when(number, v.try_cast("double").cast("string")).otherwise(text.substr(F.lit(6), F.length(text) - 6))
 
 
 def documents_from_csv(raw: DataFrame, stem: str) -> DataFrame:
