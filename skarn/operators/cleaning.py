@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from dataclasses import field as default_of
 from functools import reduce
@@ -76,41 +77,67 @@ def _applied(rule: Rule, value: Column) -> tuple[Column, Column]:
     return date, F.when(date.isNull(), F.concat(F.lit("no single date in '"), value, F.lit("'")))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+CHANGE = "array<struct<field:string,before:string,after:string,rule_id:string,rule_version:int>>"
+
+
 def cleaned(rows: DataFrame, category: Category, approver: str) -> dict[str, DataFrame]:
     """``records``, ``changes`` and ``review`` of ``rows`` (source, row, and a string column for each field).
 
     Rules run in order over each row; each that changes a value adds a change. The first rule or check that fails sends
-    the whole row to review, and its changes are dropped. Everything is one projection over the rows: nothing shuffles.
+    the whole row to review, and its changes are dropped. A row's state is a struct that each step binds once and makes
+    anew, so the plan grows with the number of rules and everything is one projection: nothing shuffles.
     """
     names = [f.name for f in category.fields if f.name in rows.columns]
-    change = "array<struct<field:string,before:string,after:string,rule_id:string,rule_version:int>>"
-    out = rows.withColumns({"_changes": F.array().cast(change), "_bad": F.lit(None).cast("string"), "_why": F.lit(None).cast("string")})
+
+    def state(get: Callable[[str], Column], changes: Column, bad: Column, why: Column) -> Column:
+        return F.struct(*(get(n).alias(n) for n in names), changes.alias("_changes"), bad.alias("_bad"), why.alias("_why"))
+
+    def apply(rule: Rule, name: str) -> Callable[[Column], Column]:
+        def step(now: Column) -> Column:
+            def use(made: Column) -> Column:
+                edit = made["new"].isNotNull() & (made["new"] != now[name])
+                change = F.struct(F.lit(name).alias("field"), now[name].alias("before"), made["new"].alias("after"), F.lit(rule.id).alias("rule_id"), F.lit(rule.version).alias("rule_version"))
+                failed = made["fail"].isNotNull()
+                return state(
+                    lambda n: F.when(edit, made["new"]).otherwise(now[n]) if n == name else now[n],
+                    F.when(edit, F.concat(now["_changes"], F.array(change))).otherwise(now["_changes"]),
+                    F.when(failed, F.lit(name)).otherwise(now["_bad"]),
+                    F.when(failed, F.concat(F.lit(f"rule {rule.id} v{rule.version}: "), made["fail"])).otherwise(now["_why"]),
+                )
+
+            new, why = _applied(rule, now[name])
+            going = now["_why"].isNull() & now[name].isNotNull()
+            return _let(F.struct(F.when(going, new).alias("new"), F.when(going, why).alias("fail")), use)
+
+        return step
+
+    def check(f: Field) -> Callable[[Column], Column]:
+        def step(now: Column) -> Column:
+            value = F.coalesce(now[f.name], F.lit("")) if f.name in names else F.lit("")
+            why = F.when(value == "", F.lit("required field is empty") if f.required else F.lit(None)).when(~T.is_type(f.type, value), F.concat(F.lit("'"), value, F.lit(f"' is not a valid {f.type}")))
+            if f.allowed:
+                why = why.when(~value.isin(*f.allowed), F.concat(F.lit("'"), value, F.lit("' is not an allowed value")))
+            failed = lambda w: now["_why"].isNull() & w.isNotNull()
+            return _let(why, lambda w: state(lambda n: now[n], now["_changes"], F.when(failed(w), F.lit(f.name)).otherwise(now["_bad"]), F.when(failed(w), w).otherwise(now["_why"])))
+
+        return step
+
+    now = state(F.col, F.array().cast(CHANGE), F.lit(None).cast("string"), F.lit(None).cast("string"))
     for rule in category.rules:
         for name in [rule.field] if rule.field else names:
-            if name not in names:
-                continue
-            new, why = _applied(rule, F.col(name))
-            going = F.col("_why").isNull() & F.col(name).isNotNull()
-            out = out.withColumns({"_new": F.when(going, new), "_fail": F.when(going, why)})
-            edit = F.col("_new").isNotNull() & (F.col("_new") != F.col(name))
-            made = F.array(F.struct(F.lit(name).alias("field"), F.col(name).alias("before"), F.col("_new").alias("after"), F.lit(rule.id).alias("rule_id"), F.lit(rule.version).alias("rule_version")))
-            out = out.withColumns({
-                "_changes": F.when(edit, F.concat("_changes", made)).otherwise(F.col("_changes")),
-                "_bad": F.coalesce("_bad", F.when(F.col("_fail").isNotNull(), F.lit(name))),
-                "_why": F.coalesce("_why", F.when(F.col("_fail").isNotNull(), F.concat(F.lit(f"rule {rule.id} v{rule.version}: "), "_fail"))),
-                name: F.when(edit, F.col("_new")).otherwise(F.col(name)),
-            })
+            if name in names:
+                now = _let(now, apply(rule, name))
     for f in category.fields:
-        value = F.coalesce(F.col(f.name), F.lit("")) if f.name in names else F.lit("")
-        why = F.when(value == "", F.lit("required field is empty") if f.required else F.lit(None)).when(~T.is_type(f.type, value), F.concat(F.lit("'"), value, F.lit(f"' is not a valid {f.type}")))
-        if f.allowed:
-            why = why.when(~value.isin(*f.allowed), F.concat(F.lit("'"), value, F.lit("' is not an allowed value")))
-        out = out.withColumn("_fail", F.when(F.col("_why").isNull(), why))
-        out = out.withColumns({"_bad": F.coalesce("_bad", F.when(F.col("_fail").isNotNull(), F.lit(f.name))), "_why": F.coalesce("_why", "_fail")})
+        now = _let(now, check(f))
+    out = rows.select("source", "row", now.alias("_now")).select("source", "row", "_now.*")
     good = out.filter("_why is null")
-    keep = ["source", "row", *names]
     return {
-        "records": good.select(*keep, F.lit(category.name).alias("category")),
+        "records": good.select("source", "row", *names, F.lit(category.name).alias("category")),
         "changes": good.select("source", "row", F.inline("_changes")).withColumn("approved_by", F.lit(approver)),
         "review": out.filter("_why is not null").select("source", "row", F.lit("needs_rule").alias("tag"), F.lit(1).alias("mark"), F.col("_bad").alias("field"), F.col("_why").alias("reason")),
     }
