@@ -120,3 +120,20 @@ def zigzag(delta: str | Column) -> Column:
 
 def quaternion_norm(q: str | Column) -> Column:
     return F.sqrt(F.aggregate(_c(q), F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+
+
+GEOPOSE = "struct<position:struct<lat:double,lon:double,h:double>,quaternion:struct<x:double,y:double,z:double,w:double>>"
+
+
+def geopose_json(lat: str | Column, lon: str | Column, h: str | Column, quaternion: str | Column) -> Column:
+    """A basic pose as JSON: position, and a unit quaternion (x, y, z, w)."""
+    q = _c(quaternion)
+    return F.to_json(F.struct(F.struct(_c(lat).alias("lat"), _c(lon).alias("lon"), _c(h).alias("h")).alias("position"), F.struct(*(q[i].alias(n) for i, n in enumerate("xyzw"))).alias("quaternion")))
+
+
+def geopose(text: str | Column, tolerance: float = 1e-6) -> Column:
+    """The pose of a JSON text; null where a part is missing, out of range, or the quaternion is no unit."""
+    p = F.from_json(_c(text), GEOPOSE)
+    q = F.array(*(p["quaternion"][n] for n in "xyzw"))
+    good = p["position"]["lat"].between(-90, 90) & p["position"]["lon"].between(-180, 180) & p["position"]["h"].isNotNull() & (F.abs(quaternion_norm(q) - 1) <= tolerance)
+    return F.when(good, p)

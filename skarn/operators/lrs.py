@@ -231,6 +231,14 @@ def activities(mentions: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "object_id string, definition string")
 
 
+def person_object(agent_json: str | Column) -> Column:
+    """A person of one agent: its names and identifiers as lists, as JSON."""
+    get = lambda p: F.get_json_object(agent_json, p)
+    many = lambda p: F.when(get(p).isNotNull(), F.array(get(p)))
+    account = F.when(get("$.account").isNotNull(), F.array(F.struct(get("$.account.homePage").alias("homePage"), get("$.account.name").alias("name"))))
+    return F.to_json(F.struct(F.lit("Person").alias("objectType"), many("$.name").alias("name"), many("$.mbox").alias("mbox"), many("$.mbox_sha1sum").alias("mbox_sha1sum"), many("$.openid").alias("openid"), account.alias("account")))
+
+
 #: Verbs of the scholar profile by number and label.
 VERBS = ((1, "read"), (2, "reviewed"), (3, "approved"), (4, "rejected"), (5, "flagged-hallucination"), (6, "ta-approved-draft"), (7, "requested-human-review"), (8, "cites"))
 

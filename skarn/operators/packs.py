@@ -100,3 +100,43 @@ def jumps(rows: DataFrame, order: str, axes: tuple[str, ...], by: str) -> DataFr
     w = Window.partitionBy(by).orderBy(order)
     squares = sum(((F.col(a) - F.lag(a).over(w)) ** 2 for a in axes), F.lit(0.0))
     return rows.withColumn("jump", F.sqrt(squares)).agg(F.avg("jump").alias("avg_jump"), F.max("jump").alias("max_jump"))
+
+
+def active_agents(rows: DataFrame, agent_id: int | None = None) -> DataFrame:
+    """Agents whose flags say active (1) and not disabled (2)."""
+    found = rows.filter((F.col("flags").bitwiseAND(1) != 0) & (F.col("flags").bitwiseAND(2) == 0))
+    return found if agent_id is None else found.filter(F.col("agent_id") == agent_id)
+
+
+def first_manifest(rows: DataFrame) -> DataFrame:
+    return rows.orderBy("seq").limit(1)
+
+
+def hulls(rows: DataFrame, axes: tuple[str, ...] = ("px", "py", "pz"), by: str = "tile_id") -> DataFrame:
+    """Smallest box around each tile's positions."""
+    return rows.groupBy(by).agg(*(f(a).alias(f"{n}_{a}") for a in axes for n, f in (("min", F.min), ("max", F.max))), F.count("*").alias("n"))
+
+
+def meeting(boxes: DataFrame, low: list[float], high: list[float], axes: tuple[str, ...] = ("px", "py", "pz")) -> DataFrame:
+    """Tiles whose box meets a query box; all others can be skipped."""
+    test = F.lit(True)
+    for a, x, y in zip(axes, low, high, strict=True):
+        test = test & (F.col(f"max_{a}") >= x) & (F.col(f"min_{a}") <= y)
+    return boxes.filter(test)
+
+
+def topic_coordinates(title: str | Column, doi: str | Column, salts: tuple[str, str, str] = ("x", "y", "z")) -> list[Column]:
+    """Three coordinates in [0, 1): the means of the hashes of a title's words, else the hash of the DOI."""
+    from skarn.functions.text import words
+
+    unit = lambda salt, w: F.conv(F.substring(F.md5(F.concat(F.lit(salt + "\x1f"), w)), 1, 8), 16, 10).cast("double") / 4294967296.0
+    tokens = words(title)
+    doi = F.col(doi) if isinstance(doi, str) else doi
+    mean = lambda salt: F.aggregate(F.transform(tokens, lambda w: unit(salt, w)), F.lit(0.0), lambda a, x: a + x) / F.size(tokens)
+    return [F.when(F.size(tokens) > 0, mean(s)).otherwise(unit(s, doi)) for s in salts]
+
+
+def edge_readings(rows: DataFrame) -> DataFrame:
+    """Device records (min_ts_ms, delta_ms, code, base, step, seal_ok, ...) as readings; a broken seal is an error."""
+    good = F.when(F.col("seal_ok"), F.col("code")).otherwise(F.raise_error(F.lit("a device seal does not verify")).cast("int"))
+    return rows.withColumns({"timestamp": F.col("min_ts_ms") + F.col("delta_ms"), "value": F.col("base") + good * F.col("step")}).drop("min_ts_ms", "delta_ms", "code", "base", "step", "seal_ok")

@@ -405,6 +405,50 @@ def h3_codes(spark, d):
     return A.table(spark, d, "events").select("event_id", S.frame_code("value", 1.0, 0.25).alias("code"), S.zigzag(F.col("event_id") % 7 - 3).alias("zigzag"))
 
 
+@query("select s_suppkey as agent_id from supplier where s_suppkey % 4 = 1")
+def f15_active_agents(spark, d):
+    return packs.active_agents(A.table(spark, d, "supplier").select(F.col("s_suppkey").alias("agent_id"), (F.col("s_suppkey") % 4).alias("flags"))).select("agent_id")
+
+
+@query("select min(s_suppkey) as seq from supplier")
+def f15_first_manifest(spark, d):
+    return packs.first_manifest(A.table(spark, d, "supplier").select(F.col("s_suppkey").alias("seq")))
+
+
+@query("with b as (select l_suppkey as tile_id, min(l_quantity) as a, max(l_quantity) as b, min(100 * l_discount) as c, max(100 * l_discount) as d, count(*) as n from lineitem group by 1) select tile_id, n from b where b >= 49 and a <= 50 and round(d, 2) >= 9 and round(c, 2) <= 10")
+def f20_meeting_hulls(spark, d):
+    rows = A.kinematics(spark, d).withColumnRenamed("robot_id", "tile_id")
+    return packs.meeting(packs.hulls(rows), [49, 9, -1], [50, 10, 99]).select("tile_id", "n")
+
+
+UNIT = "('0x' || substr(md5('{s}' || chr(31) || {w}), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+
+
+@query("select p_partkey, " + ", ".join(f"round(list_avg(list_transform(list_filter(string_split_regex(lower(p_name), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: {UNIT.format(s=s, w='w')})), 6) as topic_{s}" for s in "xyz") + " from part")
+def a8_topic_coordinates(spark, d):
+    axes = packs.topic_coordinates("p_name", F.lit("10.1/x"))
+    return A.table(spark, d, "part").select("p_partkey", *(F.round(c, 6).alias(f"topic_{s}") for c, s in zip(axes, "xyz", strict=True)))
+
+
+@query("select c_custkey, case when c_custkey % 3 <> 0 and c_custkey % 200 <= 90 then (c_custkey % 200)::DOUBLE end as lat from customer")
+def t11_geopose(spark, d):
+    key = F.col("c_custkey")
+    w = F.when(key % 3 == 0, 0.9).otherwise(1.0)
+    text = S.geopose_json((key % 200).cast("double"), F.lit(10.0), F.lit(5.0), F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0), w))
+    return A.table(spark, d, "customer").select("c_custkey", S.geopose(text)["position"]["lat"].alias("lat"))
+
+
+@query(f"select event_id, {EPOCH} * 1000 + event_id % 50 as timestamp, 10.0 + (event_id % 9) * 0.5 as value from events")
+def s21_edge_readings(spark, d):
+    rows = A.table(spark, d, "events").select("event_id", (A.epoch() * 1000).alias("min_ts_ms"), (F.col("event_id") % 50).alias("delta_ms"), (F.col("event_id") % 9).cast("int").alias("code"), F.lit(10.0).alias("base"), F.lit(0.5).alias("step"), F.lit(True).alias("seal_ok"))
+    return packs.edge_readings(rows)
+
+
+@query("select doc_id as paper_id, source as venue, (1990 + doc_id % 35)::INT as year from documents")
+def d9_papers(spark, d):
+    return A.papers(spark, d).select("paper_id", "venue", "year")
+
+
 # Sessions.
 
 
@@ -604,6 +648,12 @@ def x13_actor_identity(spark, d):
     return A.table(spark, d, "events").withColumn("actor_json", body).select(F.col("event_id").alias("seq"), lrs.actor_identity("actor_json").alias("actor"))
 
 
+@query("select event_id as seq, '{\"objectType\":\"Person\",\"mbox\":[\"mailto:u' || user_id || '\"]}' as person from events")
+def x12_person_object(spark, d):
+    agent = F.to_json(F.struct(F.concat(F.lit("mailto:u"), "user_id").alias("mbox")))
+    return A.table(spark, d, "events").select(F.col("event_id").alias("seq"), lrs.person_object(agent).alias("person"))
+
+
 @query(f"with {STATEMENTS}, v(verb_id, verb_label) as (values (1, 'read'), (2, 'reviewed'), (8, 'cites')) select seq, case seq % 2 when 0 then 2 end::INT as verb_id from statements")
 def x10_verb_labels(spark, d):
     rows = A.statements(spark, d).withColumn("verb", F.when(F.col("seq") % 2 == 0, "http://x/verbs/reviewed").otherwise("http://x/verbs/nothing"))

@@ -213,6 +213,11 @@ def iceberg_schema(table: DataFrame, name: str) -> dict:
     return {"format-version": 2, "table": name, "schema": {"type": "struct", "fields": [{"id": i, "name": c, "required": False, "type": kinds.get(t, t)} for i, (c, t) in enumerate(table.dtypes, 1)]}}
 
 
+def delta_commit(table: DataFrame, name: str, files: list[str]) -> list[dict]:
+    """Entries of a first Delta commit for existing files: protocol, schema and the files."""
+    return [{"protocol": {"minReaderVersion": 1, "minWriterVersion": 2}}, {"metaData": {"id": name, "format": {"provider": "parquet"}, "schemaString": table.schema.json(), "partitionColumns": []}}, *({"add": {"path": f, "dataChange": True}} for f in files)]
+
+
 def answered(requests: DataFrame, records: DataFrame) -> DataFrame:
     """Batch requests (row, query) answered by coordinate (``L0:T<tile>:R<row>``), else an error, one row for each."""
     where = {"_tile": F.regexp_extract("query", "^L\\d+:T(\\d+):R\\d+$", 1).try_cast("bigint"), "_row": F.regexp_extract("query", "^L\\d+:T\\d+:R(\\d+)$", 1).try_cast("bigint")}
