@@ -85,4 +85,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_urls, op2_bpe, op3_licenses, op4_langid, op5_pii, op6_shards, op7_quality, op8_html, op9_decontamination, op10_simhash)}
 
-ORACLE_SQL: dict[str, str] = {}
+#: Containment needs no fingerprints to be told: shingles of both sides, joined and counted.
+OP9_SQL = r"""
+with items as (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') as w from benchmark where text is not null),
+  wanted as (select distinct item_id, least(5, len(w)) as width, array_to_string(w[i.i:i.i + least(5, len(w)) - 1], ' ') as s from items, unnest(range(1, len(w) - least(5, len(w)) + 2)) i(i) where len(w) > 0),
+  sizes as (select item_id, count(*) as n from wanted group by item_id),
+  docs as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') as w from documents where text is not null),
+  here as (select distinct doc_id, width, array_to_string(w[i.i:i.i + width - 1], ' ') as s from docs, (select distinct width from wanted), unnest(range(1, len(w) - width + 2)) i(i) where len(w) >= width)
+select doc_id, item_id, count(*) / any_value(n) as containment from wanted join here using (width, s) join sizes using (item_id) group by doc_id, item_id having count(*) / any_value(n) >= 0.8 - 1e-9
+"""
+
+ORACLE_SQL = {"op9_decontamination": OP9_SQL}
