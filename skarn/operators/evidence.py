@@ -19,10 +19,10 @@ def proof_chains(claims: DataFrame, fingerprints: DataFrame, statements: DataFra
     """
     last = claims.groupBy("claim_id").agg(F.max_by(F.struct("citation_fingerprint_id", "verification_uuid"), "seq").alias("c")).select("claim_id", "c.*")
     first = fingerprints.groupBy("paper_id").agg(F.min_by("content_sha256", "seq").alias("content_sha256"))
-    fallback = fingerprints.agg(F.min_by(F.struct("paper_id", "content_sha256"), "seq").alias("any"))
+    other = fingerprints.agg(F.min_by(F.struct("paper_id", "content_sha256"), "seq")).first()[0] or (None, None)
     wanted = F.coalesce("citation_fingerprint_id", "claim_id")
-    found = last.withColumn("wanted", wanted).join(first, F.col("wanted") == first["paper_id"], "left").join(F.broadcast(fallback))
-    found = found.select("claim_id", "verification_uuid", F.coalesce("paper_id", "any.paper_id").alias("paper_id"), F.coalesce("content_sha256", "any.content_sha256").alias("content_sha256"))
+    found = last.withColumn("wanted", wanted).join(first, F.col("wanted") == first["paper_id"], "left")
+    found = found.select("claim_id", "verification_uuid", F.coalesce("paper_id", F.lit(other[0])).alias("paper_id"), F.coalesce("content_sha256", F.lit(other[1])).alias("content_sha256"))
     ids = statements.select(F.col("id").alias("verification_id")).distinct()
     found = found.join(ids, found["verification_uuid"] == ids["verification_id"], "left")
     return found.select("claim_id", "paper_id", "content_sha256", doi_of("paper_id").alias("doi"), "verification_id", F.col("verification_id").isNotNull().alias("verified"))

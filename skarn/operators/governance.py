@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from skarn.schema import MARKS, WHOLE_TILE
 
@@ -98,15 +103,25 @@ def erasures(requests: DataFrame, marks: DataFrame, holds: DataFrame, by_agent:
 def chained(rows: DataFrame, by: list[str], order: str, body: Column) -> DataFrame:
     """``rows`` whose hash covers the body and the hash before it, as a fold over each chain.
 
-    A chain's links depend on one another, so each chain is folded by one task; chains are short (one subject's
-    consents, one submission's decisions) and independent.
+    A link depends on the one before, so a chain is made in order: rows come sorted to a task by chain and ``order``,
+    and the task keeps one hash, however long a chain is.
     """
-    step = F.struct(F.col(order).alias("o"), body.alias("b"), F.struct(*rows.columns).alias("r"))
-    links = rows.groupBy(*by).agg(F.sort_array(F.collect_list(step)).alias("l"))
-    fold = F.aggregate("l", F.array().cast("array<string>"), lambda acc, x: F.concat(acc, F.array(F.sha2(F.concat(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit("")), F.lit("|"), x["b"]), 256))))
-    out = links.withColumn("h", fold).select(F.posexplode("l").alias("i", "x"), "h")
-    before = F.when(F.col("i") > 0, F.element_at("h", F.col("i"))).otherwise("")
-    return out.select("x.r.*", before.alias("prev_hash"), F.element_at("h", F.col("i") + 1).alias("hash"))
+    staged = rows.withColumn("_body", body).repartition(*by).sortWithinPartitions(*by, order)
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, before = None, ""
+        for pdf in batches:
+            prev, made = [], []
+            for key, text in zip(pdf[by].itertuples(index=False, name=None), pdf["_body"], strict=True):
+                if key != now:
+                    now, before = key, ""
+                prev.append(before)
+                before = hashlib.sha256(f"{before}|{text}".encode()).hexdigest()
+                made.append(before)
+            yield pdf.drop(columns="_body").assign(prev_hash=prev, hash=made)
+
+    schema = StructType([*rows.schema.fields, StructField("prev_hash", StringType()), StructField("hash", StringType())])
+    return staged.mapInPandas(fold, schema)
 
 
 def broken_links(rows: DataFrame, by: list[str], order: str, body: Column) -> DataFrame:

@@ -95,17 +95,17 @@ def record_hash() -> Column:
 
 def inserted(records: DataFrame, rows: DataFrame) -> DataFrame:
     """``records`` with ``rows`` (timestamp, sensor_id, metric_id, value) appended; a later row gets a later ``seq``, not always the next one."""
-    last = records.agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("_last"))
-    new = rows.withColumn("_row", F.monotonically_increasing_id()).join(F.broadcast(last)).withColumns({"flags": F.lit(0).cast("bigint"), "seq": F.col("_last") + 1 + F.col("_row")})
-    return records.unionByName(new.drop("_last", "_row"), allowMissingColumns=True)
+    last = records.agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0]
+    new = rows.withColumns({"flags": F.lit(0).cast("bigint"), "seq": F.lit(last + 1) + F.monotonically_increasing_id()})
+    return records.unionByName(new, allowMissingColumns=True)
 
 
 def tombstones(records: DataFrame, keys: DataFrame) -> DataFrame:
     """Tombstones for those ``keys`` (sensor_id, metric_id, timestamp) that have a live record; others are no-ops."""
     keys = keys.select(*KEY).distinct()
     alive = live(records.join(keys, list(KEY), "left_semi"))
-    last = records.agg(F.max("seq").alias("_last"))
-    dead = alive.join(F.broadcast(last)).withColumns({"value": F.lit(0.0), "flags": F.lit(1).cast("bigint"), "seq": F.col("_last") + 1 + F.monotonically_increasing_id()})
+    last = records.agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0]
+    dead = alive.withColumns({"value": F.lit(0.0), "flags": F.lit(1).cast("bigint"), "seq": F.lit(last + 1) + F.monotonically_increasing_id()})
     return dead.select(*(c for c in records.columns if c in COLUMNS))
 
 

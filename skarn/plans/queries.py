@@ -138,7 +138,8 @@ def a9_conservation(spark, d):
 @query(f"{LATEST} select (select count(*) from live) as live, (select count(*) from telemetry) as stored")
 def a3_counts(spark, d):
     rows = A.telemetry(spark, d)
-    return telemetry.live(rows).agg(F.count("*").alias("live")).join(F.broadcast(rows.agg(F.count("*").alias("stored"))))
+    both = telemetry.live(rows).select(F.lit(1).alias("live")).unionAll(rows.select(F.lit(0).alias("live")))
+    return both.agg(F.count_if(F.col("live") == 1).alias("live"), F.count_if(F.col("live") == 0).alias("stored"))
 
 
 @query(f"with {TELEMETRY} select tile_id, min(timestamp) as min_ts, max(timestamp) as max_ts, count(*) as n, count(distinct sensor_id) as sensors from telemetry group by tile_id")
@@ -390,8 +391,8 @@ def h1_hilbert(spark, d):
     """All cells of a cube of 8: the curve visits each once, one step at a time."""
     cells = spark.range(512).select((F.col("id") % 8).alias("x"), (F.floor(F.col("id") / 8) % 8).alias("y"), F.floor(F.col("id") / 64).alias("z"))
     curve = cells.withColumn("h", S.hilbert_3d("x", "y", "z", 3)).withColumn("one", F.lit(1))
-    jump = packs.jumps(curve, "h", ("x", "y", "z"), "one").select("max_jump")
-    return curve.agg(F.countDistinct("h").cast("int").alias("cells"), F.max("h").cast("int").alias("highest")).join(F.broadcast(jump))
+    jump = packs.jumps(curve, "h", ("x", "y", "z"), "one").first().max_jump
+    return curve.agg(F.countDistinct("h").cast("int").alias("cells"), F.max("h").cast("int").alias("highest"), F.lit(jump).alias("max_jump"))
 
 
 @query("select c_custkey, round(x + y + z, 6) as d4, round(x + y - z, 6) as d5, round(x - y + z, 6) as d6, round(x - y - z, 6) as d7 from (select c_custkey, c_acctbal as x, c_nationkey::DOUBLE as y, (c_custkey % 17)::DOUBLE as z from customer)")
@@ -664,7 +665,8 @@ def x10_verb_labels(spark, d):
 def g12_purge(spark, d):
     rows = A.statements(spark, d)
     kept, receipts = lrs.purge(rows, rows.filter("seq % 9 = 0"), rows.filter("seq % 27 = 0"))
-    return kept.agg(F.count("*").alias("kept")).join(F.broadcast(receipts.agg(F.count("*").alias("receipts"))))
+    both = kept.select(F.lit(True).alias("k")).unionAll(receipts.select(F.lit(False).alias("k")))
+    return both.agg(F.count_if("k").alias("kept"), F.count_if(~F.col("k")).alias("receipts"))
 
 
 @query(f"with {STATEMENTS} select count(*) as n from statements where stored_ms < 1711929600000 - 90 * 86400000::BIGINT")
