@@ -48,7 +48,7 @@ def papers_by_year(rows: DataFrame) -> DataFrame:
 def library_search(rows: DataFrame, edges: DataFrame, first_year: int, last_year: int, limit: int = 25) -> DataFrame:
     """The first papers of a range of years, with the numbers of papers in it and of edges at all."""
     found = rows.filter(F.col("year").between(first_year, last_year))
-    return found.orderBy("seq").limit(limit).withColumns({"n_papers": F.lit(found.count()), "n_edges": F.lit(edges.count())})
+    return found.orderBy("seq").limit(limit).withColumns({"n_papers": F.lit(found.count()).cast("bigint"), "n_edges": F.lit(edges.count()).cast("bigint")})
 
 
 def research_edges(rows: DataFrame, subject: int | None = None, predicate: int | None = None) -> DataFrame:

@@ -439,7 +439,7 @@ def t11_geopose(spark, d):
     return A.table(spark, d, "customer").select("c_custkey", S.geopose(text)["position"]["lat"].alias("lat"))
 
 
-@query(f"select event_id, {EPOCH} * 1000 + event_id % 50 as timestamp, 10.0 + (event_id % 9) * 0.5 as value from events")
+@query(f"select event_id, {EPOCH} * 1000 + event_id % 50 as timestamp, 10 + (event_id % 9) * 0.5::DOUBLE as value from events")
 def s21_edge_readings(spark, d):
     rows = A.table(spark, d, "events").select("event_id", (A.epoch() * 1000).alias("min_ts_ms"), (F.col("event_id") % 50).alias("delta_ms"), (F.col("event_id") % 9).cast("int").alias("code"), F.lit(10.0).alias("base"), F.lit(0.5).alias("step"), F.lit(True).alias("seal_ok"))
     return packs.edge_readings(rows)
@@ -852,7 +852,7 @@ def a16_recheck(spark, d):
 
 @query("select doc_id, len(list_filter(string_split_regex(text, '[^\\p{L}\\p{N}]+'), lambda w: w <> '')) as n from documents")
 def t1_words(spark, d):
-    return A.table(spark, d, "documents").select("doc_id", F.size(T.words("text")).alias("n"))
+    return A.table(spark, d, "documents").select("doc_id", F.size(T.words("text")).cast("bigint").alias("n"))
 
 
 @query("select c_custkey, case c_custkey % 4 when 3 then null else '10.55/ab' || c_custkey end as doi from customer")

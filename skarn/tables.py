@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``; one of our own where it is unset."""
     context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if not context.getCheckpointDir():
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="skarn-"))
     return (named or context.getCheckpointDir()).rstrip("/")
