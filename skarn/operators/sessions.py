@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skarn.functions import text as T
+from skarn.operators.governance import consent_gate
 
 
 def human_lrs(rows: DataFrame, session: str | None = None, actor_hash: int | None = None, start: int = 0, end: int = 2**63 - 1) -> DataFrame:
@@ -21,6 +22,14 @@ def ai_traces(rows: DataFrame, session: str | None = None, agent_id: int | None
     return found if agent_id is None else found.filter(F.col("agent_id") == agent_id)
 
 
+def learning_activities(rows: DataFrame, start: int = 0, end: int = 2**63 - 1, actor_id: int | None = None, verb_id: int | None = None, consents: DataFrame | None = None, purpose: int | None = None, now: int = 0) -> DataFrame:
+    """Activities in time, of an actor and of a verb; with a purpose only those of actors who consent to it now."""
+    found = rows.filter(F.col("timestamp_sec").between(start, end) & (F.col("flags").bitwiseAND(1) == 0))
+    found = found if actor_id is None else found.filter(F.col("actor_id") == actor_id)
+    found = found if verb_id is None else found.filter(F.col("verb_id") == verb_id)
+    return found if consents is None else consent_gate(found, consents, "actor_id", purpose, now)
+
+
 def bundle(humans: DataFrame, traces: DataFrame) -> DataFrame:
     """(session_uuid, side, timestamp_sec, who, score): both sides of each session as tagged rows.
 

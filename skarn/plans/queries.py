@@ -477,6 +477,12 @@ def d7_human_lrs(spark, d):
     return sessions.human_lrs(A.humans(spark, d), actor_hash=5, start=0, end=4).select("session_uuid", "timestamp_sec", F.round("decision_score", 6).alias("score"))
 
 
+@query(f"with {CONSENTS}, last as (select *, row_number() over (partition by subject_id, purpose order by seq desc) as rn from consents), ok as (select subject_id from last where rn = 1 and withdrawn_at = 0 and (expires_at = 0 or expires_at >= 600)) select event_id as seq from events where {METRIC} = 5 and {K} % 10 <> 0 and user_id::VARCHAR in (select subject_id from ok)")
+def f4_learning_activities(spark, d):
+    rows = A.table(spark, d, "events").select(F.col("event_id").alias("seq"), A.epoch().alias("timestamp_sec"), F.col("user_id").alias("actor_id"), A._code(A.METRICS, "event_type").alias("verb_id"), F.when(A._k() % 10 == 0, 1).otherwise(0).alias("flags"))
+    return sessions.learning_activities(rows, verb_id=5, consents=A.consents(spark, d), purpose=1, now=600).select("seq")
+
+
 @query("select conv_id::VARCHAR as session_uuid, turn as timestamp_sec from conversations where role = 'assistant' and conv_id % 7 = 3")
 def d8_ai_traces(spark, d):
     return sessions.ai_traces(A.traces(spark, d), agent_id=3).select("session_uuid", "timestamp_sec")
@@ -850,6 +856,25 @@ def a16_recheck(spark, d):
 # Text functions and files.
 
 
+@query("select parent, part_number, quantity, 1 as part, concat_ws(',', parent, part_number, quantity::BIGINT || '.0') as line from (select 'O' || l_orderkey as parent, 'P' || l_partkey as part_number, sum(l_quantity) as quantity from lineitem group by 1, 2)")
+def s19_bom_lines(spark, d):
+    rows = merge.bill_of_materials(A.part_uses(spark, d)).filter("parent is not null").select("parent", "part_number", "quantity")
+    lines = files.csv_lines(rows).filter("part = 1")
+    cells = F.split("line", ",")
+    return lines.select(cells[0].alias("parent"), cells[1].alias("part_number"), cells[2].cast("double").alias("quantity"), "part", "line")
+
+
+@query("select event_id as seq, value from events where value > 40")
+def s14_projection(spark, d):
+    """Only the two columns asked for are read, and the filter reaches the scan."""
+    return A.telemetry(spark, d).filter("value > 40").select("seq", "value")
+
+
+@query("select tier, count(*) as n from (select event_id % 4 as tier from events) where tier >= 2 group by 1")
+def s18_cold_tiers(spark, d):
+    return A.telemetry(spark, d).withColumn("tier", F.col("seq") % 4).filter("tier >= 2").groupBy("tier").agg(F.count("*").alias("n"))
+
+
 @query("select doc_id, len(list_filter(string_split_regex(text, '[^\\p{L}\\p{N}]+'), lambda w: w <> '')) as n from documents")
 def t1_words(spark, d):
     return A.table(spark, d, "documents").select("doc_id", F.size(T.words("text")).cast("bigint").alias("n"))
