@@ -239,14 +239,69 @@ def person_object(agent_json: str | Column) -> Column:
     return F.to_json(F.struct(F.lit("Person").alias("objectType"), many("$.name").alias("name"), many("$.mbox").alias("mbox"), many("$.mbox_sha1sum").alias("mbox_sha1sum"), many("$.openid").alias("openid"), account.alias("account")))
 
 
-#: Verbs of the scholar profile by number and label.
-VERBS = ((1, "read"), (2, "reviewed"), (3, "approved"), (4, "rejected"), (5, "flagged-hallucination"), (6, "ta-approved-draft"), (7, "requested-human-review"), (8, "cites"))
+#: Numbers, labels and permission bits of the scholar profile's verbs; other last parts of their IRIs.
+VERBS = (
+    (0x00E1, "ta-approved-draft", 0),
+    (0x00E2, "ta-provided-analogy", 1),
+    (0x00E3, "ta-redirected", 2),
+    (0x00E4, "ta-escalated", 3),
+    (1, "experienced", 4),
+    (2, "reviewed", 5),
+    (3, "approved", 6),
+    (4, "rejected", 7),
+    (5, "requested-human-review", 8),
+    (6, "flagged-hallucination", 9),
+    (7, "cited", 10),
+    (8, "imported", 11),
+    (9, "exported-snapshot", 12),
+    (10, "searched", 13),
+    (11, "opened", 14),
+    (12, "viewed", 15),
+    (13, "saved", 16),
+    (14, "removed", 17),
+    (15, "created", 18),
+    (16, "edited", 19),
+    (17, "asked", 20),
+    (18, "ai-answered", 21),
+    (19, "accepted", 22),
+    (20, "logged-out", 23),
+    (21, "consent-declined", 24),
+    (22, "flagged-discrepancy", 25),
+    (23, "verified-claim", 26),
+)
+VERB_ALIASES = {"cites": "cited", "create": "created", "search": "searched", "open": "opened", "save": "saved", "remove": "removed", "accept": "accepted"}
+
+
+def verb_label(iri: str | Column) -> Column:
+    """The label that an IRI's last part stands for."""
+    last = F.element_at(F.split(F.col(iri) if isinstance(iri, str) else iri, "/"), -1)
+    label = last
+    for other, name in VERB_ALIASES.items():
+        label = F.when(last == other, name).otherwise(label)
+    return label
 
 
 def with_verb_labels(statements: DataFrame) -> DataFrame:
-    """``statements`` with the number and label of registered verbs, found by the IRI's last part; a fixed small table."""
-    table = statements.sparkSession.createDataFrame(list(VERBS), "verb_id int, verb_label string")
-    return statements.withColumn("verb_label", F.element_at(F.split("verb", "/"), -1)).join(F.broadcast(table), "verb_label", "left")
+    """``statements`` with label, number and permission bit of registered verbs; the registry is a fixed small table."""
+    table = statements.sparkSession.createDataFrame(list(VERBS), "verb_id int, verb_label string, verb_bit int")
+    return statements.withColumn("verb_label", verb_label("verb")).join(F.broadcast(table), "verb_label", "left")
+
+
+def profile_violations(raw: DataFrame) -> DataFrame:
+    """(seq, why) of statements of registered verbs that break the scholar profile.
+
+    An activity must have an IRI; approvals must say whether they succeeded; a citation must name what it cites.
+    """
+    get = lambda p: F.get_json_object("raw_json", p)
+    label = verb_label(get("$.verb.id"))
+    activity = F.coalesce(get("$.object.objectType"), F.lit("Activity")) == "Activity"
+    why = F.coalesce(
+        F.when(get("$.object").isNull(), "object is missing"),
+        F.when(activity & ~F.coalesce(T.is_iri(get("$.object.id")), F.lit(False)), "activity id is no IRI"),
+        F.when(label.isin("approved", "ta-approved-draft") & ~F.coalesce(get("$.result.success").isin("true", "false"), F.lit(False)), "success is missing"),
+        F.when((label == "cited") & get("$.object.id").isNull(), "cited work is missing"),
+    )
+    return raw.filter(label.isin(*(v[1] for v in VERBS))).select("seq", why.alias("why")).filter("why is not null")
 
 
 def document_ids(documents: DataFrame, kind: int, prefix: str = "", since_ms: int | None = None) -> DataFrame:

@@ -21,7 +21,7 @@ def readings(spark, *rows):
 
 
 def values(df, *names):
-    return sorted(tuple(r[n] for n in names) for r in df.collect())
+    return sorted((tuple(r[n] for n in names) for r in df.collect()), key=repr)
 
 
 def one(spark, **columns):
@@ -217,6 +217,12 @@ def test_statement_rules(spark):
     assert {r.seq: r.why for r in lrs.violations(bad).collect()} == {2: "id is no UUID", 3: "verb id is no IRI", 4: "agent has no identifier", 5: "duration is malformed", 6: "scaled score is out of range", 7: "language is no tag"}
 
 
+def test_profile_rules(spark):
+    bad = raw_table(spark, statement(1, "approved"), statement(2, "approved", result={"success": True}), statement(3, "cites", object={"objectType": "Agent"}), statement(4, "reviewed", object={"id": "no iri"}), statement(5, "unknown", object={"id": "no iri"}))
+    assert {r.seq: r.why for r in lrs.profile_violations(bad).collect()} == {1: "success is missing", 3: "cited work is missing", 4: "activity id is no IRI"}
+    assert values(lrs.with_verb_labels(lrs.parsed(bad)), "seq", "verb_id") == [(1, 3), (2, 3), (3, 7), (4, 2), (5, None)]
+
+
 def test_projections_replay(spark):
     rows = lrs.parsed(raw_table(spark, statement(1, "completed", result={"success": False}), statement(2, "mastered", result={"score": {"scaled": 0.5}}), statement(3, "earned"), statement(4, "assigned"), statement(5, "nothing")))
     live, again = lrs.projections(rows), lrs.projections(rows.repartition(3))
