@@ -61,8 +61,6 @@ def hilbert_3d(x: str | Column, y: str | Column, z: str | Column, bits: int = 21
 def wrapped_contains(low: float, high: float, value: str | Column, period: float) -> Column:
     """Whether a value lies in an interval of an axis that wraps; an interval with low > high goes round the end."""
     v, a, b = F.pmod(_c(value).cast("double"), F.lit(period)), low % period, high % period
-    if high - low >= period:
-        return F.lit(True)
     return (v >= a) & (v <= b) if a <= b else (v >= a) | (v <= b)
 
 

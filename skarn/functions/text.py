@@ -25,11 +25,11 @@ def words(text: str | Column) -> Column:
 
 
 def matched_share(query: str, text: str | Column) -> Column:
-    """Share of a query's words that the lower-cased text holds as substrings; 0 for a query without words."""
+    """Share of a query's words that the text, A-Z lower-cased, holds as substrings; 0 for a query without words."""
     asked = [w for w in "".join(c if c.isalnum() else " " for c in query.lower()).split()]
     if not asked:
         return F.lit(0.0)
-    low = F.lower(_c(text))
+    low = F.translate(_c(text), UPPER, LOWER)
     return sum((F.when(F.contains(low, F.lit(w)), 1.0).otherwise(0.0) for w in asked), F.lit(0.0)) / len(asked)
 
 

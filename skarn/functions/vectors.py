@@ -45,10 +45,10 @@ def int8_dot(a: str | Column, b: str | Column) -> Column:
 
 
 def quantize_int8(v: str | Column) -> Column:
-    """struct(scale, offset, vector): scale = range / 254 (1 for a constant vector), codes from -127."""
+    """struct(scale, offset, vector): scale = range / 254, codes from -127, truncated towards zero."""
     low, high = F.array_min(_c(v)).cast("double"), F.array_max(_c(v)).cast("double")
-    scale = F.when(high > low, (high - low) / 254).otherwise(1.0)
-    codes = F.transform(_c(v), lambda x: (F.round((x.cast("double") - low) / scale) - 127).cast("tinyint"))
+    scale = F.greatest(high - low, F.lit(1e-7)) / 254
+    codes = F.transform(_c(v), lambda x: F.greatest(F.lit(-128.0), F.least(F.lit(127.0), (x.cast("double") - low) / scale - 127)).cast("tinyint"))
     return F.struct(scale.alias("scale"), low.alias("offset"), codes.alias("vector"))
 
 
@@ -60,7 +60,7 @@ def dequantize_int8(q: str | Column) -> Column:
 def quantize_4bit(v: str | Column) -> Column:
     """struct(scale, offset, codes): scale = range / 15, codes truncated and held within 0 to 15."""
     low, high = F.array_min(_c(v)).cast("double"), F.array_max(_c(v)).cast("double")
-    scale = F.when(high > low, (high - low) / 15).otherwise(1.0)
+    scale = F.greatest(high - low, F.lit(1e-7)) / 15
     codes = F.transform(_c(v), lambda x: F.greatest(F.lit(0), F.least(F.lit(15), F.floor((x.cast("double") - low) / scale).cast("int"))))
     return F.struct(scale.alias("scale"), low.alias("offset"), codes.alias("codes"))
 
@@ -78,10 +78,10 @@ def unpack_nibbles(packed: str | Column) -> Column:
 
 
 def quantize_max(v: str | Column) -> Column:
-    """struct(scale, vector): scale = largest magnitude / 127."""
+    """struct(scale, vector): scale = largest magnitude / 127 (1 for zeros), codes truncated towards zero."""
     big = F.array_max(F.transform(_c(v), lambda x: F.abs(x.cast("double"))))
     scale = F.when(big > 0, big / 127).otherwise(1.0)
-    return F.struct(scale.alias("scale"), F.transform(_c(v), lambda x: F.round(x.cast("double") / scale).cast("tinyint")).alias("vector"))
+    return F.struct(scale.alias("scale"), F.transform(_c(v), lambda x: F.greatest(F.lit(-127.0), F.least(F.lit(127.0), x.cast("double") / scale)).cast("tinyint")).alias("vector"))
 
 
 def composed_score(
