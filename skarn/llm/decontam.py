@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import keep_rows, written
 
 WORD = re.compile(r"\w+")
 #: Words of a shingle, and the share of an item's shingles that a document must hold.
@@ -137,19 +137,29 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = TH
     are not shuffled and no candidate leaves its task. Null and empty texts of either side match nothing; repeated
     rows of either side give repeated results; further columns are ignored; empty tables give an empty table.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    items = items.filter("text is not null").withColumn("size", F.octet_length("text"))
-    total = items.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    passes = [_search(docs, items, threshold, shingle) for items in _blocks(benchmark)]
+    return reduce(DataFrame.unionAll, passes)
+
+
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of about half ``BLOCK_BYTES`` of text, one block at a time on the driver."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = 1 + int(total * 2 // BLOCK_BYTES)
     if n > 1:
         items = written(items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n))), "benchmark")
-    blocks = [items if n == 1 else items.filter(F.col("block") == i) for i in range(n)]
-    passes = [_search(docs, [(r.item_id, r.text) for r in b.select("item_id", "text").toLocalIterator()], threshold, shingle) for b in blocks]
-    return reduce(DataFrame.unionAll, passes)
+    for i in range(n):
+        block = items if n == 1 else items.filter(F.col("block") == i)
+        yield [(r.item_id, r.text) for r in block.select("item_id", "text").toLocalIterator()]
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item; all columns as they were."""
-    hits = contained_items(docs, benchmark, threshold, shingle).select(F.col("doc_id").alias("_hit")).distinct()
-    hits = written(hits, "leaks")
-    return docs.join(hits, docs["doc_id"].eqNullSafe(hits["_hit"]), "left_anti")
+    """``docs`` without the documents that hold a benchmark item; all columns as they were, one pass for each block of items."""
+    for items in _blocks(benchmark):
+
+        def judge_of(items=items):
+            sketches, hasher = Sketches(items, threshold, shingle), Hasher()
+            return lambda texts: [not sketches.contained(t, hasher) for t in texts]
+
+        docs = keep_rows(docs, judge_of)
+    return docs

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, written
+from .common import chunks, keep_rows, written
 
 RUN = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
@@ -269,6 +269,10 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.35) -> DataFrame:
     """``docs`` without texts that are undetermined or whose language is less sure than ``least``; all columns as they were."""
-    rejected = identify(docs, model).filter((F.col("lang_pred") == UNDETERMINED) | (F.col("score") < least))
-    rejected = written(rejected.select(F.col("doc_id").alias("_rejected")).distinct(), "rejected")
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["_rejected"]), "left_anti")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def judge_of():
+        scorer = Scorer(shared.value)
+        return lambda texts: [tag != UNDETERMINED and score >= least for tag, score in zip(*scorer.predict(texts), strict=True)]
+
+    return keep_rows(docs, judge_of, TOGETHER)

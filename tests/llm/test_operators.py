@@ -285,6 +285,7 @@ def test_op9_partial_containment_and_blocks(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in decontam.contained_items(docs, bench).collect()} == told
     monkeypatch.setattr(decontam, "BLOCK_BYTES", 4000)
     assert {(r.doc_id, r.item_id) for r in decontam.contained_items(docs, bench).collect()} == told
+    assert {r.doc_id for r in decontam.decontaminated(docs, bench).collect()} == {d for d, _ in rows} - {d for d, _ in told}
 
 
 def plain_components(pairs, nodes):
