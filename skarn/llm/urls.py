@@ -7,13 +7,16 @@ from dataclasses import dataclass
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
-#: Rows that the trees are fitted on, about; buckets of a suffix table; weight of the overall rate in a suffix's rate.
+#: Rows that the trees are fitted on, about; buckets of a suffix table; weight of an even rate in a suffix's rate.
 TRAIN_ROWS, BUCKETS, PRIOR = 20_000, 4096, 10.0
+#: Probability from which the trees block: both classes weigh alike, so 0.5 says nothing, and doubt allows.
+LEAST = 0.8
 FEATURES = ("f_length", "f_host_length", "f_labels", "f_depth", "f_digits", "f_entropy", "f_params", "f_hyphens", "f_longest", "f_domain_rate", "f_file_rate")
 
 
@@ -83,12 +86,11 @@ class Model:
     """Rates of blocked URLs by suffix bucket, at most ``BUCKETS`` rows each, and the trees; none without two classes."""
 
     rates: dict[str, DataFrame]
-    overall: float
     trees: PipelineModel | None
 
     def with_rates(self, rows: DataFrame) -> DataFrame:
         for name, rates in self.rates.items():
-            rows = rows.join(F.broadcast(rates), name, "left").withColumn(f"f_{name}_rate", F.coalesce(f"f_{name}_rate", F.lit(self.overall)))
+            rows = rows.join(F.broadcast(rates), name, "left").withColumn(f"f_{name}_rate", F.coalesce(f"f_{name}_rate", F.lit(0.5)))
         return rows
 
     def blocked(self, rows: DataFrame) -> DataFrame:
@@ -96,32 +98,33 @@ class Model:
         rows = self.with_rates(rows)
         if self.trees is None:
             return rows.withColumn("blocked", F.lit(False))
-        return self.trees.transform(rows).withColumn("blocked", F.col("prediction") > 0.5)
+        return self.trees.transform(rows).withColumn("blocked", vector_to_array("probability")[1] >= LEAST)
 
 
 def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """Trees from rows of ``with_features`` with a ``label`` (1.0: block, 0.0: allow).
 
+    What is labelled need not be like the rest, so both classes weigh alike, and a suffix never seen has an even rate.
     The rates cover all labelled rows. The trees are fitted on a sample of about ``train_rows`` rows, drawn by a hash
     of the URL; that bound is the only one.
     """
     n, blocked = labelled.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
-    overall = blocked / n if n else 0.0
+    labelled = labelled.withColumn("weight", F.when(F.col("label") > 0.5, n / (2 * max(blocked, 1))).otherwise(n / (2 * max(n - blocked, 1))))
     rates = {}
     for name in ("domain", "file"):
-        rate = (F.sum("label") + F.lit(PRIOR * overall)) / (F.count("*") + F.lit(PRIOR))
+        rate = (F.sum(F.col("label") * F.col("weight")) + PRIOR / 2) / (F.sum("weight") + PRIOR)
         found = labelled.groupBy(name).agg(rate.alias("rate")).collect()
         rates[name] = labelled.sparkSession.createDataFrame([(r[0], r[1]) for r in found], f"{name} long, f_{name}_rate double")
-    model = Model(rates, overall, None)
+    model = Model(rates, None)
     if not 0 < blocked < n:
         return model
     part = min(1.0, train_rows / n)
     sample = labelled.filter(F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < int(part * (1 << 20)) + 1)
-    sample = model.with_rates(sample).select("label", *FEATURES)
+    sample = model.with_rates(sample).select("label", "weight", *FEATURES)
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    rows = assembler.transform(sample).select("label", "features")
-    trees = GBTClassifier(maxIter=15, maxDepth=4, stepSize=0.3, seed=11, checkpointInterval=-1).fit(rows)
-    return Model(rates, overall, PipelineModel([assembler, trees]))
+    rows = assembler.transform(sample).select("label", "weight", "features")
+    trees = GBTClassifier(weightCol="weight", maxIter=15, maxDepth=4, stepSize=0.3, seed=11, checkpointInterval=-1).fit(rows)
+    return Model(rates, PipelineModel([assembler, trees]))
 
 
 def judge(pages: DataFrame, rules: list[Rule], train_rows: int = TRAIN_ROWS) -> DataFrame:
