@@ -18,14 +18,13 @@ RUN = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
 #: Sign of a word's start in the vocabulary.
 START = "▁"
-#: Letters of a piece at most, and of what is scored as one word; longer runs of letters are cut into such words.
-PIECE, WORD = 8, 32
 #: Probability of a letter that the vocabulary lacks, the same in every language.
 UNKNOWN = 1e-7
 #: Documents for each language that training reads, about; documents whose words are scored at once; words kept scored.
 TRAIN_DOCS, TOGETHER, KEPT_WORDS = 6000, 512, 500_000
 ROUNDS = 3
-MIX = np.array([pow(0xD6E8FEB86659FD93, 2 * i + 1, 1 << 64) for i in range(PIECE)], np.uint64)
+#: Signs whose probabilities stay above the least float, at ``UNKNOWN`` each; words' signs that are worked on at once.
+SAFE, SIGNS = 40, 1 << 15
 
 
 def vocabulary(path: str) -> list[str]:
@@ -34,75 +33,97 @@ def vocabulary(path: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = (model.id_to_piece(i) for i in range(model.get_piece_size()))
-    return sorted({p for p in pieces if len(p) <= PIECE and p.replace(START, "", 1).isalpha() and p == p.lower()})
+    return sorted({p for p in pieces if p.replace(START, "", 1).isalpha() and p == p.lower()})
 
 
-def parts_of(word: str) -> list[str]:
-    """A run of letters as words of at most ``WORD`` signs, the first marked as a start."""
-    letters = START + "".join(c for c in word if c.isalpha())
-    return [letters[i : i + WORD] for i in range(0, len(letters), WORD)] if len(letters) > 1 else []
+def marked(word: str) -> str:
+    """A run of letters, however long, marked as a word's start; empty if it has no letter."""
+    letters = "".join(c for c in word if c.isalpha())
+    return START + letters if letters else ""
 
 
 @dataclass
 class PieceIndex:
-    """Finds the piece that each stretch of a word is: sorted 64-bit values of the pieces, behind a bit table."""
+    """Finds the piece that each stretch of a word is, by 64-bit values of the pieces' beginnings, a length at a time."""
 
     pieces: list[str]
 
     def __post_init__(self) -> None:
-        values = np.array([self._value(p) for p in self.pieces], np.uint64)
-        self.order = np.argsort(values)
-        self.values = values[self.order]
-        self.bits = np.zeros(1 << 18, bool)
-        self.bits[(self.values >> np.uint64(46)).astype(np.int64)] = True
-
-    @staticmethod
-    def _value(piece: str) -> int:
-        return sum(ord(c) * int(m) for c, m in zip(piece, MIX, strict=False)) & (1 << 64) - 1
-
-    def stretches(self, words: list[str]) -> tuple[list[list[tuple[np.ndarray, np.ndarray]]], np.ndarray]:
-        """For each (length - 1, start): the words with a piece there, and which; and the words' lengths."""
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        wide = int(sizes.max())
-        letters = np.ascontiguousarray(np.array(words, f"U{wide}").view(np.uint32).reshape(len(words), wide).T).astype(np.uint64)
-        found, value = [], np.zeros((wide, len(words)), np.uint64)
-        for k in range(min(PIECE, wide)):
-            n = wide - k
-            value = value[:n] + letters[k:] * MIX[k]
-            start, row = np.nonzero(self.bits[(value >> np.uint64(46)).astype(np.int32)] & (letters[k:] > 0))
-            at = np.minimum(np.searchsorted(self.values, v := value[start, row]), len(self.values) - 1)
-            hit = self.values[at] == v
-            start, row, piece = start[hit], row[hit], self.order[at[hit]]
-            ends = np.searchsorted(start, np.arange(n + 1))
-            found.append([(row[a:b], piece[a:b]) for a, b in zip(ends, ends[1:], strict=False)])
-        return found, sizes
-
-
-def _dense(words: np.ndarray, chances: np.ndarray, n: int) -> np.ndarray:
-    """Chance of one letter for each of n words: of its piece where there is one, else ``UNKNOWN``."""
-    out = np.full((n, chances.shape[1]), UNKNOWN)
-    out[words] = np.maximum(chances, UNKNOWN)
-    return out
-
-
-def _forward(found: list, n: int, wide: int, languages: int, chance) -> np.ndarray:
-    """(position, word, language): probability of all segmentations up to a position."""
-    alpha = np.zeros((wide + 1, n, languages))
-    alpha[0] = 1
-    for j in range(1, wide + 1):
-        alpha[j] = alpha[j - 1] * _dense(found[0][j - 1][0], chance(*found[0][j - 1]), n)
-        for k in range(1, min(PIECE, j)):
-            words, pieces = found[k][j - k - 1]
-            if len(words):
-                alpha[j, words] += alpha[j - k - 1, words] * chance(words, pieces)
-    return alpha
+        self.longest = max(map(len, self.pieces), default=1)
+        #: Positions worked on at once: with the pieces that reach beyond them, ``SAFE`` signs.
+        self.segment = max(SAFE - self.longest, 1)
+        self.mix = np.array([pow(0xD6E8FEB86659FD93, 2 * i + 1, 1 << 64) for i in range(self.longest)], np.uint64)
+        place = {p: i for i, p in enumerate(self.pieces)}
+        self.levels = []
+        for k in range(1, self.longest + 1):
+            begun = sorted((self._value(p), place.get(p, -1)) for p in {p[:k] for p in self.pieces if len(p) >= k})
+            self.levels.append((np.array([v for v, _ in begun], np.uint64), np.array([i for _, i in begun], np.int64)))
+
+    def _value(self, piece: str) -> int:
+        return sum(ord(c) * int(m) for c, m in zip(piece, self.mix, strict=False)) & (1 << 64) - 1
+
+    def hits(self, letters: np.ndarray, low: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces that start in the segment at ``low`` of words (sign, word), as (from, to, piece), and bounds by start.
+
+        From and to are places (position in the segment, word) laid flat. A letter that is no piece counts as the piece
+        after the last. Only stretches that begin some piece are lengthened.
+        """
+        n = letters.shape[1]
+        here = letters[low : low + self.segment + self.longest - 1].ravel()
+        live = np.nonzero(here[: self.segment * n])[0]
+        value = here[live] * self.mix[0]
+        sources, targets, found = [], [], []
+        for k, (values, ids) in enumerate(self.levels):
+            if k:
+                inside = np.searchsorted(live, len(here) - k * n)
+                live, value = live[:inside], value[:inside] + here[live[:inside] + k * n] * self.mix[k]
+            if not len(live) or not len(values):
+                break
+            at = np.minimum(np.searchsorted(values, value), len(values) - 1)
+            begins = values[at] == value
+            piece = np.where(begins, ids[at], -1)
+            if k == 0:
+                sources.append(live)
+                targets.append(live + n)
+                found.append(np.where(piece < 0, len(self.pieces), piece))
+            else:
+                whole = piece >= 0
+                sources.append(live[whole])
+                targets.append(live[whole] + (k + 1) * n)
+                found.append(piece[whole])
+            live, value = live[begins], value[begins]
+        if not sources:
+            sources, targets, found = [live], [live + n], [np.full(len(live), len(self.pieces))]
+        source = np.concatenate(sources)
+        start = (source // n).astype(np.int16)
+        order = np.argsort(start, kind="stable")
+        bounds = np.searchsorted(start[order], np.arange(self.segment + 1))
+        return source[order], np.concatenate(targets)[order], np.concatenate(found)[order], bounds
+
+
+def _letters(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(sign, word) code points, zero beyond a word's end, and the words' lengths."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    wide = int(sizes.max())
+    letters = np.array(words, f"U{wide}").view(np.uint32).reshape(len(words), wide).T
+    return np.ascontiguousarray(letters).astype(np.uint64), sizes
+
+
+def _scaled(state: np.ndarray, longest: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The states of some positions with the greatest of each word as one, and the logarithms of what that took out."""
+    state = state.reshape(longest, n, -1)
+    most = state.max(axis=0)
+    most[most == 0] = 1
+    return (state / most).reshape(longest * n, -1), np.log(most)
 
 
 def _by_length(words: list[str]) -> Iterator[np.ndarray]:
-    """Indices of words of like lengths, a few thousand at a time."""
-    sizes = (np.fromiter(map(len, words), np.int64, len(words)) + 3) // 4
-    for size in np.unique(sizes):
-        yield from chunks(np.nonzero(sizes == size)[0], 4096)
+    """Indices of words of like lengths, up to a few thousand at a time."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    like = np.where(sizes <= SAFE, (sizes + 3) // 4, SAFE + np.log2(np.maximum(sizes, 1)) * 4).astype(np.int64)
+    for size in np.unique(like):
+        rows = np.nonzero(like == size)[0]
+        yield from chunks(rows, max(1, min(4096, SIGNS // int(sizes[rows].max()))))
 
 
 @dataclass
@@ -113,38 +134,92 @@ class Model:
     languages: list[str]
     chance: np.ndarray
 
+    def _tables(self) -> tuple[PieceIndex, np.ndarray]:
+        """The index, and the pieces' probabilities with a last row for unknown letters, which no letter falls below."""
+        if "_made" not in self.__dict__:
+            table = np.vstack([self.chance, np.full((1, len(self.languages)), UNKNOWN)])
+            single = [i for i, p in enumerate(self.pieces) if len(p) == 1]
+            table[single] = np.maximum(table[single], UNKNOWN)
+            self._made = PieceIndex(self.pieces), table
+        return self._made
+
     def score(self, words: list[str]) -> np.ndarray:
-        """(word, language) log probabilities of marked words."""
-        index = self.__dict__.setdefault("_index", PieceIndex(self.pieces))
-        out = np.zeros((len(words), len(self.languages)))
+        """(word, language) log probabilities of marked words: sums over all segmentations of each whole word.
+
+        The forward state of the last positions is carried, scaled, from segment to segment of long words.
+        """
+        index, table = self._tables()
+        out, longest = np.zeros((len(words), len(self.languages))), index.longest
         for rows in _by_length(words):
-            found, sizes = index.stretches([words[i] for i in rows])
-            alpha = _forward(found, len(rows), int(sizes.max()), len(self.languages), lambda _, pieces: self.chance[pieces])
-            out[rows] = np.log(alpha[sizes, np.arange(len(rows))])
+            letters, sizes = _letters([words[i] for i in rows])
+            n, scale = len(rows), np.zeros((len(rows), len(self.languages)))
+            state = np.ones((n, len(self.languages)))
+            for low in range(0, len(letters), index.segment):
+                alpha = _forward(index, n, index.hits(letters, low), state, lambda _, pieces: table[pieces])
+                ends = np.nonzero((sizes > low) & (sizes <= low + index.segment))[0]
+                out[rows[ends]] = np.log(alpha[(sizes[ends] - low) * n + ends]) + scale[ends]
+                if low + index.segment < len(letters):
+                    state, more = _scaled(alpha[index.segment * n :], longest, n)
+                    scale += more
         return out
 
     def expected(self, words: list[str], language: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """(piece, language) expected uses over all segmentations of words, each of one language and counted so often."""
-        index = self.__dict__.setdefault("_index", PieceIndex(self.pieces))
-        uses = np.zeros(self.chance.size)
+        """(piece, language) expected uses over all segmentations of words, each of one language and counted so often.
+
+        Long words keep the forward state of each segment's start and are worked backwards from the last segment.
+        """
+        index, table = self._tables()
+        longest, segment, width = index.longest, index.segment, len(self.languages)
+        raw = np.vstack([self.chance, np.zeros((1, width))])
+        uses = np.zeros(raw.size)
         for rows in _by_length(words):
-            found, sizes = index.stretches([words[i] for i in rows])
-            lang, n, wide = language[rows], len(rows), int(sizes.max())
-            chance = lambda words, pieces, lang=lang: self.chance[pieces, lang[words]][:, None]
-            alpha = _forward(found, n, wide, 1, chance)[:, :, 0]
-            beta = np.zeros((wide + 1, n))
-            beta[sizes, np.arange(n)] = 1
-            weight = counts[rows] / alpha[sizes, np.arange(n)]
-            for i in range(wide - 1, -1, -1):
-                beta[i] += beta[i + 1] * _dense(found[0][i][0], chance(*found[0][i]), n)[:, 0]
-                for k in range(min(PIECE, wide - i)):
-                    words_, pieces = found[k][i]
-                    if len(words_):
-                        through = chance(words_, pieces)[:, 0] * beta[i + k + 1, words_]
-                        if k:
-                            beta[i, words_] += through
-                        uses += np.bincount(pieces * len(self.languages) + lang[words_], alpha[i, words_] * through * weight[words_], minlength=len(uses))
-        return uses.reshape(self.chance.shape)
+            letters, sizes = _letters([words[i] for i in rows])
+            lang, n = language[rows], len(rows)
+            chance = lambda at, pieces, lang=lang, n=n: table[pieces, lang[at % n]][:, None]
+            state, scale, total = np.ones((n, 1)), np.zeros((n, 1)), np.zeros(n)
+            starts = []
+            for low in range(0, len(letters), segment):
+                starts.append((low, state, scale[:, 0].copy()))
+                alpha = _forward(index, n, hits := index.hits(letters, low), state, chance)
+                ends = np.nonzero((sizes > low) & (sizes <= low + segment))[0]
+                total[ends] = np.log(alpha[(sizes[ends] - low) * n + ends, 0]) + scale[ends, 0]
+                if low + segment < len(letters):
+                    state, more = _scaled(alpha[segment * n :], longest, n)
+                    scale += more
+            last, after, back = starts[-1][0], np.zeros((longest * n, 1)), np.zeros(n)
+            for low, state, scale_here in reversed(starts):
+                if low < last:
+                    alpha = _forward(index, n, hits := index.hits(letters, low), state, chance)
+                source, target, piece, bounds = hits
+                beta = np.concatenate([np.zeros(segment * n), after[:, 0]])
+                ends = np.nonzero((sizes > low) & (sizes <= low + segment))[0]
+                beta[(sizes[ends] - low) * n + ends] = 1
+                through = chance(source, piece)[:, 0]
+                for i in range(segment - 1, -1, -1):
+                    if (a := bounds[i]) < (b := bounds[i + 1]):
+                        beta[i * n : (i + 1) * n] += np.bincount(source[a:b] - i * n, through[a:b] * beta[target[a:b]], minlength=n)
+                word = source % n
+                weight = counts[rows] * np.exp(np.where(sizes > low, scale_here + back - total, 0))
+                share = alpha[source, 0] * raw[piece, lang[word]] * beta[target] * weight[word]
+                uses += np.bincount(piece * width + lang[word], share, minlength=len(uses))
+                if low:
+                    after, more = _scaled(beta[: longest * n], longest, n)
+                    back += more[:, 0]
+        return uses.reshape(raw.shape)[:-1]
+
+
+def _forward(index: PieceIndex, n: int, hits: tuple, state: np.ndarray, chance) -> np.ndarray:
+    """(position and word, language): probability of all segmentations up to each place of a segment and shortly after.
+
+    ``state`` holds what segmentations from before the segment bring to its first positions, for ``n`` words.
+    """
+    source, target, piece, bounds = hits
+    alpha = np.zeros(((index.segment + index.longest) * n, state.shape[1]))
+    alpha[: len(state)] = state
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        if a < b:
+            alpha[target[a:b]] += alpha[source[a:b]] * chance(source[a:b], piece[a:b])
+    return alpha
 
 
 class Scorer:
@@ -158,10 +233,10 @@ class Scorer:
         for some in chunks(list(words), 20_000):
             if len(self.known) + len(some) > KEPT_WORDS:
                 raise OverflowError
-            parts = [(i, p) for i, w in enumerate(some) for p in parts_of(w)]
+            parts = [(i, p) for i, w in enumerate(some) if (p := marked(w))]
             total = np.zeros((len(some), self.table.shape[1]))
             if parts:
-                np.add.at(total, [i for i, _ in parts], self.model.score([p for _, p in parts]))
+                total[[i for i, _ in parts]] = self.model.score([p for _, p in parts])
             first = len(self.known)
             self.table[first : first + len(some)] = total
             self.known.update(zip(some, range(first, first + len(some)), strict=True))
@@ -233,7 +308,7 @@ def fit(docs: DataFrame, vocabulary_path: str, train_docs: int = TRAIN_DOCS, rou
     def expect(batches: Iterator[pa.RecordBatch], now: Model) -> Iterator[pa.RecordBatch]:
         uses = np.zeros(now.chance.shape)
         for batch in batches:
-            parts = [(p, place[lang], n) for lang, w, n in zip(*(c.to_pylist() for c in batch.columns), strict=True) for p in parts_of(w)]
+            parts = [(p, place[lang], n) for lang, w, n in zip(*(c.to_pylist() for c in batch.columns), strict=True) if (p := marked(w))]
             if parts:
                 uses += now.expected([p for p, _, _ in parts], np.array([g for _, g, _ in parts]), np.array([n for _, _, n in parts], float))
         piece, lang = np.nonzero(uses)

@@ -151,6 +151,34 @@ def plain_spans(text):
     return [(kind, start, end) for start, _, kind, end in sorted(out)]
 
 
+def test_op4_long_pieces_and_runs():
+    pieces = langid.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    assert {"▁children", "▁different", "▁important"} <= set(pieces)
+    rng = np.random.default_rng(1)
+    chance = rng.random((len(pieces), 2)) + 0.1
+    model = langid.Model(pieces, ["a", "b"], chance / chance.sum(axis=0))
+    at = {p: i for i, p in enumerate(pieces)}
+
+    def plain(word, lang):
+        alpha = [0.0]
+        for j in range(1, len(word) + 1):
+            ways = [alpha[i] + math.log(model.chance[at[word[i:j]], lang] if word[i:j] in at else langid.UNKNOWN) for i in range(max(0, j - 20), j) if word[i:j] in at or j == i + 1]
+            alpha.append(max(ways) + math.log(sum(math.exp(w - max(ways)) for w in ways)))
+        return alpha[-1]
+
+    words = ["▁children", "▁importantbusiness", "▁" + "differentchildren" * 40, "▁" + "ß日qx" * 30, "▁the" + "x" * 37, "▁" + "é" * 23, "▁" + "é" * 24, "▁abc"]
+    assert langid.marked("a" * 5000) == "▁" + "a" * 5000
+    assert np.allclose(model.score(words), [[plain(w, g) for g in (0, 1)] for w in words], rtol=1e-9)
+    for word in words[:3]:
+        uses = model.expected([word, "▁abc"], np.array([1, 0]), np.array([2.0, 0.0]))
+        assert math.isclose(sum(uses[i, 1] * len(p) for i, p in enumerate(pieces)), 2 * len(word), rel_tol=1e-6)
+        some = next(i for i in np.argsort(-uses[:, 1]) if len(pieces[i]) > 8)
+        more = model.chance.copy()
+        more[some, 1] *= 1 + 1e-6
+        slope = (langid.Model(pieces, ["a", "b"], more).score([word])[0, 1] - model.score([word])[0, 1]) / 1e-6
+        assert math.isclose(uses[some, 1], 2 * slope, rel_tol=1e-3)
+
+
 def test_op5_base_spans(spark, sf, texts):
     rng = random.Random(0)
     for _ in range(20_000):
