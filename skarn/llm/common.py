@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -61,3 +63,33 @@ def keep_rows(docs: DataFrame, judge_of: Callable[[], Callable[[list[str | None]
                     yield kept
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def keep_one(docs: DataFrame, node_of: Callable[[bytes | None], int], roots: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component: the smallest doc_id, nulls last, then the smallest text; all columns stay.
+
+    ``node_of`` gives a text's node, a signed 64-bit number; ``roots`` (node, root) the component of each node that isn't
+    one by itself. Rows are told apart by node and doc_id, so null and repeated doc_ids lose no text of another component.
+    """
+    name = "_node"
+    while name in docs.columns:
+        name += "_"
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = pa.array([node_of(t) for t in batch.column(at).cast(pa.binary()).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, nodes], names=[*batch.schema.names, name])
+
+    marked = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
+    ids = written(marked.groupBy(F.col(name).alias("n_"), F.col("doc_id").alias("d_")).agg(F.count("*").alias("rows_")), "ids")
+    ids = ids.join(roots.select(F.col("node").alias("n_"), "root"), "n_", "left").withColumn("r_", F.coalesce("root", "n_")).drop("root")
+    ids = written(ids, "rooted")
+    first = ids.groupBy("r_").agg(F.min("d_").alias("first_"))
+    firsts = ids.join(first, "r_").filter(F.col("d_").eqNullSafe(F.col("first_")))
+    alone = firsts.groupBy("r_").agg((F.sum("rows_") == 1).alias("alone_"))
+    firsts = written(firsts.select("r_", "n_", "d_").join(alone, "r_"), "firsts")
+    kept = marked.join(firsts, (F.col(name) == F.col("n_")) & F.col("doc_id").eqNullSafe(F.col("d_")))
+    kept = written(kept.select(F.struct(*(marked[c] for c in docs.columns)).alias("row_"), "r_", "alone_"), "kept")
+    others = kept.filter("not alone_").groupBy("r_").agg(F.min_by("row_", F.struct("row_.text", F.to_json("row_"))).alias("row_"))
+    return kept.filter("alone_").select("row_").unionByName(others.select("row_")).select("row_.*")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import keep_one, written
 from .components import connected_components
 
 SEED = 42
@@ -96,6 +96,17 @@ def far_links(fps: DataFrame) -> DataFrame:
     return pairs.select(F.col("cls2").alias("a"), F.col("cls").alias("b")).distinct()
 
 
+def _classes(marks: DataFrame) -> DataFrame:
+    """(fp, first, cls): each fingerprint, its smallest doc_id and its component."""
+    nodes = written(marks.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("first")), "nodes")
+    close = written(connected_components(close_links(nodes.select("fp"))), "close")
+    classes = nodes.join(close, nodes.fp == close.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("cls"))
+    classes = written(classes, "classes")
+    far = written(connected_components(far_links(classes.select("fp", "cls"))), "far")
+    classes = classes.join(far, classes.cls == far.node, "left").select("fp", "first", F.coalesce("root", "cls").alias("cls"))
+    return written(classes, "joined")
+
+
 def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     """``docs`` (doc_id, text) -> (doc_id, fingerprint, component_id), one row for each row.
 
@@ -105,19 +116,13 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     names a component unless all its members are null; further columns are ignored; an empty table gives an empty table.
     """
     marks = written(fingerprints(docs, words), "fingerprints")
-    nodes = written(marks.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("first")), "nodes")
-    close = written(connected_components(close_links(nodes.select("fp"))), "close")
-    classes = nodes.join(close, nodes.fp == close.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("cls"))
-    classes = written(classes, "classes")
-    far = written(connected_components(far_links(classes.select("fp", "cls"))), "far")
-    classes = classes.join(far, classes.cls == far.node, "left").select("fp", "first", F.coalesce("root", "cls").alias("cls"))
-    classes = written(classes, "joined")
+    classes = _classes(marks)
     firsts = classes.groupBy("cls").agg(F.min("first").alias("component_id"))
     named = written(classes.select("fp", "cls").join(firsts, "cls").select("fp", "component_id"), "named")
     return marks.join(named, marks.fingerprint == named.fp).select("doc_id", "fingerprint", "component_id")
 
 
 def keep_first(docs: DataFrame, words: int = 3) -> DataFrame:
-    """``docs`` without near duplicates: of each component the row with the smallest doc_id stays, all columns as they were."""
-    first = near_duplicates(docs, words).select(F.col("component_id").alias("_keep")).distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["_keep"]), "left_semi").dropDuplicates(["doc_id"])
+    """``docs`` with one row of each component, the smallest doc_id, then the smallest text; all columns as they were."""
+    roots = _classes(written(fingerprints(docs, words), "fingerprints")).select(F.col("fp").alias("node"), F.col("cls").alias("root"))
+    return keep_one(docs, lambda t: _signed(fingerprint(t, words)), roots)

@@ -108,3 +108,12 @@ def test_pages(spark):
     assert (found[1].host, found[1].path, found[None].host) == ("", "", "") and found[3].host == "a.com" and found[3].path == "" and found[3].rule is None
     assert (found[4].rule, found[4].verdict) == ("u/", "block")
     assert html.extract(pages.limit(0)).count() == 0 and urls.judge(pages.limit(0), rules).count() == 0
+
+
+def test_keep_first_by_row(spark):
+    """Null doc_ids, and one doc_id for different texts, lose no component; the choice does not depend on the order."""
+    far = ["one two three four five six", "quick brown foxes jump over lazy dogs", "nothing in common with the others here"]
+    rows = [(None, far[0]), (None, far[1]), (None, far[1].upper()), (7, far[2]), (7, far[0] + " and more of it"), (3, far[2]), (9, None), (None, "")]
+    for order in (rows, rows[::-1]):
+        got = [(r.doc_id, r.text) for r in simhash.keep_first(spark.createDataFrame(order, "doc_id long, text string")).collect()]
+        assert sorted(got, key=str) == sorted([(None, far[0]), (None, far[1].upper()), (7, far[0] + " and more of it"), (3, far[2]), (9, None)], key=str)
