@@ -15,7 +15,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from skarn.llm import bpe, components, decontam, html, langid, licenses, pii, quality, queries, shards, simhash, urls
+from skarn.llm import bpe, components, decontam, html, langid, licenses, pii, quality, queries, shards, similar, simhash, urls
 
 
 @pytest.fixture(scope="module")
@@ -372,6 +372,28 @@ def test_op10_dense_clusters(spark):
     assert plain_components(links, marks) == plain_components(pairs, marks)
 
 
+def test_pipeline_near_copies(spark):
+    """The stage against brute force: links of five-word similarity 0.8 or more, no others."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    told = {}
+    for group in range(40):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([8, 60, 200]))]
+        for copy in range(5):
+            words = list(base)
+            for _ in range(copy * len(base) // 100):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(5000)}"
+            told[group * 5 + copy + 1] = " ".join(words)
+    sets = {i: {*zip(*(t.split()[k:] for k in range(5)), strict=False)} for i, t in told.items()}
+    near = [(a, b) for a, b in itertools.combinations(told, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    marks = {i: plain_fingerprint(t) for i, t in told.items()}
+    assert any(told[a] != told[b] and (marks[a] ^ marks[b]).bit_count() > 3 for a, b in near)
+    docs = spark.createDataFrame([(i, t) for i, t in told.items()], "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    assert kept == set(plain_components(near, told).values())
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
