@@ -47,6 +47,10 @@ CUE = re.compile(r"licen[sc]e|copyright|permission|redistribut|warrant|public do
 TERM = re.compile(r"\w+(?:[.]\d+)*")
 #: Cosine from which a block is of a license; share of a text's words in such blocks from which it is a license file.
 LEAST, FILE_SHARE = 0.6, 0.2
+#: Start of a comment line; words of a file at most that is also scored as a whole, whatever its name.
+COMMENT = re.compile(r"\s*(?://|/\*|\*|#|--|;|%|<!--|@?rem\b)[\s/*#;%-]*", re.I)
+NAMED = re.compile(r"(?:un)?licen[sc]e|copying", re.I)
+SHORT = 1000
 #: Rows of a table at most that is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 10_000
 
@@ -55,34 +59,74 @@ def terms_of(text: str) -> list[str]:
     return TERM.findall(text.lower())
 
 
-def blocks_of(text: str | None) -> list[str]:
-    """Runs of lines that hold a cue of licensing, each as one block, anywhere in the whole text."""
-    found: list[list[str]] = []
-    last = -2
-    if text and CUE.search(text):
-        for i, line in enumerate(text.split("\n")):
-            if CUE.search(line):
-                found.append([line]) if i > last + 1 else found[-1].append(line)
-                last = i
-    return [" ".join(terms_of("\n".join(b))) for b in found]
+def _runs(flags: list[bool]) -> list[tuple[int, int]]:
+    """(first, last) of each run of lines that are flagged."""
+    found: list[tuple[int, int]] = []
+    for i, flag in enumerate(flags):
+        if flag:
+            if found and found[-1][1] == i - 1:
+                found[-1] = (found[-1][0], i)
+            else:
+                found.append((i, i))
+    return found
+
+
+def blocks_of(text: str | None, path: str | None = None) -> list[tuple[int, int, str]]:
+    """(first line, last line, words) of what may be a license, anywhere in the whole text, if it holds a cue.
+
+    That is each paragraph, each comment with its empty lines, each run of lines with a cue, and the whole file if it
+    has up to ``SHORT`` words or is named like a license. Of those with the same words the widest is told.
+    """
+    if not text or not CUE.search(text):
+        return []
+    lines = text.split("\n")
+    cues, full, comment, inside = [], [], [], ""
+    for line in lines:
+        start = COMMENT.match(line)
+        comment.append(bool(start or inside))
+        rest = line[start.end() :] if start else line
+        full.append(any(map(str.isalnum, rest)))
+        cues.append(CUE.search(line) is not None)
+        if not inside:
+            inside = next((end for begin, end in (("/*", "*/"), ("<!--", "-->")) if line.lstrip().startswith(begin) and end not in line), "")
+        elif inside in line:
+            inside = ""
+    spans = {*_runs(full), *_runs(comment), *_runs(cues)}
+    if NAMED.match((path or "").rsplit("/", 1)[-1]) or len(terms_of(text)) <= SHORT:
+        spans.add((0, len(lines) - 1))
+    marked = [0]
+    for cue in cues:
+        marked.append(marked[-1] + cue)
+    found: dict[tuple[int, int], tuple[int, int, str]] = {}
+    for low, high in sorted(spans, key=lambda s: (s[0] - s[1], s)):
+        if marked[high + 1] > marked[low]:
+            shown = [i for i in range(low, high + 1) if full[i]]
+            if shown:
+                found.setdefault((shown[0], shown[-1]), (low, high, " ".join(terms_of("\n".join(lines[low : high + 1])))))
+    return sorted(found.values())
 
 
 def find_blocks(files: DataFrame) -> DataFrame:
-    """(doc_id, path, n_terms, block) of each block of each file; files without one are absent."""
+    """(doc_id, path, file, n_terms, low, high, block) of each block of each file; files without one are absent.
+
+    ``file`` is a number of the text, ``low`` and ``high`` are the block's lines.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "path", "n_terms", "block"]
-        types = (pa.int64(), pa.string(), pa.int64(), pa.string())
+        names = ["doc_id", "path", "file", "n_terms", "low", "high", "block"]
+        types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
         for batch in batches:
             rows = []
-            for doc_id, path, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if blocks := [b for b in blocks_of(text) if b]:
+            for doc_id, path, text, file in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if blocks := [b for b in blocks_of(text, path) if b[2]]:
                     n = len(terms_of(text))
-                    rows += [(doc_id, path, n, b) for b in blocks]
+                    rows += [(doc_id, path, file, n, *b) for b in blocks]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    return files.select(F.col("doc_id").cast("long"), F.col("path").cast("string"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, path string, n_terms long, block string")
+    text = F.col("text").cast("string")
+    found = files.select(F.col("doc_id").cast("long"), F.col("path").cast("string"), text, F.xxhash64(text).alias("file"))
+    return found.mapInArrow(run, "doc_id long, path string, file long, n_terms long, low long, high long, block string")
 
 
 def score_blocks(blocks: DataFrame, least: float = LEAST) -> DataFrame:
@@ -114,12 +158,13 @@ def score_blocks(blocks: DataFrame, least: float = LEAST) -> DataFrame:
 def scan(files: DataFrame, least: float = LEAST, file_share: float = FILE_SHARE) -> DataFrame:
     """(doc_id, path, license, score, origin, inherited_from) of every row of ``files`` (doc_id, path, text).
 
-    ``origin`` is ``own`` where a block of the text is a license, the best-scoring one; else ``inherited``, with the
+    ``origin`` is ``own`` where a block of the text is a license, the best-scoring one; a block inside a wider one of
+    another license doesn't count, for the wider one says more. Else ``inherited``, with the
     license of the nearest ancestor directory that has a license file; else ``none``. A license file is one named like
     LICENSE, LICENCE, COPYING or UNLICENSE, or one whose license blocks hold ``file_share`` of its words; of several in
     a directory the best score counts, then the first license in order. A null path has no directory; a null or empty
     text has no license of its own; rows of one doc_id and path are one file and come back as often as they were there; further columns are ignored; an empty table gives
-    an empty table. Only license-like blocks and directories are shuffled, never texts.
+    an empty table. Only blocks that hold a cue and directories are shuffled, never other texts.
     """
     rows = files.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
     blocks = find_blocks(rows).withColumns({"key": F.md5("block"), "words": F.size(F.split("block", " "))})
@@ -127,6 +172,10 @@ def scan(files: DataFrame, least: float = LEAST, file_share: float = FILE_SHARE)
     distinct = blocks.groupBy("key").agg(F.min("block").alias("block"), F.count("*").alias("n"))
     scores = written(score_blocks(distinct, least), "scores")
     hits = blocks.drop("block").join(F.broadcast(scores) if scores.count() <= BROADCAST_ROWS else scores, "key")
+    around = F.collect_set(F.struct("low", "high", "license")).over(Window.partitionBy("doc_id", "path", "file"))
+    wider = "x -> x.low <= low and x.high >= high and x.high - x.low > high - low"
+    hits = hits.withColumn("around", around).withColumn("outer", F.expr(f"not exists(around, {wider})"))
+    hits = hits.filter(F.expr(f"not exists(around, {wider} and x.license <> license)")).withColumn("words", F.when(F.col("outer"), F.col("words")).otherwise(0))
     own = hits.groupBy("doc_id", "path").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"), (F.sum("words") / F.max("n_terms")).alias("share"))
     own = written(own.select("doc_id", "path", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"), "share"), "own")
     folder = lambda path: F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).when(F.col("path").isNotNull(), "")

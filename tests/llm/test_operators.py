@@ -93,6 +93,28 @@ def test_op3_finds_and_inherits(spark):
     assert told == {1: ("Apache-2.0", "own", None), 2: ("GPL-3.0-only", "inherited", "r/src"), 3: ("GPL-3.0-only", "own", None), 4: ("GPL-3.0-only", "inherited", "r/src"), 5: ("Apache-2.0", "own", None), 6: (None, "none", None), 7: ("GPL-3.0-only", "own", None), 8: ("Apache-2.0", "inherited", "r")}
 
 
+def test_op3_hard_wrapped(spark):
+    """Each template's longest text, wrapped, as a file, as comment headers, and as a paragraph of a long text."""
+    import textwrap
+
+    body = "plain words of a text " * 400
+    files, told = [], {}
+    for name, given in licenses.TEMPLATES.items():
+        lines = textwrap.wrap(max(given, key=len), 60)
+        shapes = {
+            "LICENSE": "\n".join(lines),
+            "a.c": "\n".join(["/*", *(f" * {x}" for x in lines), " */", body]),
+            "b.c": "\n".join(["/*", *lines, "*/", body]),
+            "c.py": "\n".join([*(f"# {x}" for x in lines), body]),
+            "d.txt": "\n".join([body, "", *lines, "", body]),
+        }
+        for file, text in shapes.items():
+            told[len(files)] = name
+            files.append((len(files), f"{name}/{file}", text))
+    found = by_id(licenses.scan(spark.createDataFrame(files, "doc_id long, path string, text string")))
+    assert {i: (r.license, r.origin) for i, r in found.items()} == {i: (name, "own") for i, name in told.items()}
+
+
 def test_op3_scores_by_hand(spark):
     one = spark.createDataFrame([("k", "released under the mit license today", 2)], "key string, block string, n long")
     got = licenses.score_blocks(one, 0.0).first()
