@@ -7,15 +7,20 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+
+#: Rows of a table of a few numbers a row at most that is broadcast; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see: ``spark.checkpoint.dir``, or one of our own where unset (tests)."""
+    """Folder that the driver and all executors see: ``spark.checkpoint.dir``; in local mode one of our own where unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="skarn-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
@@ -33,12 +38,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table that ``written`` made and nothing reads any more."""
-    jvm = df.sparkSession._jvm
-    for file in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path.getParent(), True)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made and nothing reads any more."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        for file in df.inputFiles()[:1]:
+            path = jvm.org.apache.hadoop.fs.Path(file).getParent()
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path.getParent(), True)
+
+
+def small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``table``, a written one of narrow rows, marked for broadcast if its count allows it."""
+    return F.broadcast(table) if table.count() <= rows else table
 
 
 def chunks(items: list, size: int) -> Iterator[list]:
@@ -65,31 +76,38 @@ def keep_rows(docs: DataFrame, judge_of: Callable[[], Callable[[list[str | None]
     return docs.mapInArrow(run, docs.schema)
 
 
-def keep_one(docs: DataFrame, node_of: Callable[[bytes | None], int], roots: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component: the smallest doc_id, nulls last, then the smallest text; all columns stay.
-
-    ``node_of`` gives a text's node, a signed 64-bit number; ``roots`` (node, root) the component of each node that isn't
-    one by itself. Rows are told apart by node and doc_id, so null and repeated doc_ids lose no text of another component.
-    """
-    name = "_node"
-    while name in docs.columns:
+def fresh_name(docs: DataFrame, name: str) -> str:
+    """``name``, longer by underscores until no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
         name += "_"
-    at = docs.columns.index("text")
+    return name
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes = pa.array([node_of(t) for t in batch.column(at).cast(pa.binary()).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, nodes], names=[*batch.schema.names, name])
 
-    marked = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
-    ids = written(marked.groupBy(F.col(name).alias("n_"), F.col("doc_id").alias("d_")).agg(F.count("*").alias("rows_")), "ids")
+def keep_one(docs: DataFrame, node: Column, marks: DataFrame, roots: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component: the smallest doc_id, nulls last, then the smallest text; all columns stay.
+
+    ``node`` makes a row's node, a 64-bit number, of its text; ``marks`` (node, doc_id) is the written table of both for
+    every row, and ``roots`` (node, root) the component of each node that isn't one by itself. Rows are told apart by
+    node and doc_id, so null and repeated doc_ids lose no text of another component. What goes is worked out from these
+    numbers alone; texts are shuffled only if too many rows go for a broadcast, or where rows of a component tie.
+    """
+    ids = marks.groupBy(F.col("node").alias("n_"), F.col("doc_id").alias("d_")).agg(F.count("*").alias("rows_"))
     ids = ids.join(roots.select(F.col("node").alias("n_"), "root"), "n_", "left").withColumn("r_", F.coalesce("root", "n_")).drop("root")
     ids = written(ids, "rooted")
-    first = ids.groupBy("r_").agg(F.min("d_").alias("first_"))
-    firsts = ids.join(first, "r_").filter(F.col("d_").eqNullSafe(F.col("first_")))
-    alone = firsts.groupBy("r_").agg((F.sum("rows_") == 1).alias("alone_"))
-    firsts = written(firsts.select("r_", "n_", "d_").join(alone, "r_"), "firsts")
-    kept = marked.join(firsts, (F.col(name) == F.col("n_")) & F.col("doc_id").eqNullSafe(F.col("d_")))
-    kept = written(kept.select(F.struct(*(marked[c] for c in docs.columns)).alias("row_"), "r_", "alone_"), "kept")
-    others = kept.filter("not alone_").groupBy("r_").agg(F.min_by("row_", F.struct("row_.text", F.to_json("row_"))).alias("row_"))
-    return kept.filter("alone_").select("row_").unionByName(others.select("row_")).select("row_.*")
+    least = ids.groupBy("r_").agg(F.min("d_").alias("least_"), F.sum("rows_").alias("all_")).filter("all_ > 1").drop("all_")
+    more = written(ids.join(least, "r_").withColumn("first_", F.col("d_").eqNullSafe(F.col("least_"))).drop("least_"), "more")
+    ties = more.filter("first_").groupBy("r_").agg((F.sum("rows_") > 1).alias("tie_"))
+    goes = written(more.join(ties, "r_").filter("not first_ or tie_").select("n_", "d_", "r_", "first_"), "goes")
+    discard(ids, more)
+    name = fresh_name(docs, "node_")
+    rows = docs.withColumn(name, node)
+    same = lambda table: (rows[name] == table["n_"]) & rows["doc_id"].eqNullSafe(table["d_"])
+    gone = goes.select("n_", "d_")
+    kept = rows.join(small(gone), same(gone), "left_anti").select(*(rows[c] for c in docs.columns))
+    tied = goes.filter("first_")
+    if tied.isEmpty():
+        return kept
+    tied = rows.join(small(tied), same(tied)).select(F.struct(*(rows[c] for c in docs.columns)).alias("row_"), "r_")
+    best = tied.groupBy("r_").agg(F.min_by("row_", F.struct("row_.text", F.to_json("row_"))).alias("row_"))
+    return kept.unionByName(best.select("row_.*"))

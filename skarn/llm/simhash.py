@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import islice
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep_one, written
+from . import similar
+from .common import discard, keep_one, small, written
 from .components import connected_components
 
 SEED = 42
@@ -19,6 +20,8 @@ SEED = 42
 BLOCK = 1 << 15
 #: The three blocks of bits; a distance of three leaves at most two in some two of them.
 BLOCKS = ((0, 22), (22, 43), (43, 64))
+#: Fingerprints that share a variant above which they meet in smaller balls.
+CROWD = 4096
 
 
 def _signed(value: int) -> int:
@@ -68,7 +71,7 @@ def close_links(fps: DataFrame) -> DataFrame:
     """Links (a, b) at up to two differing bits: every fingerprint emits all variants within one bit.
 
     Two fingerprints within two bits share a variant, and all that share one are within two bits of each other, so each
-    is linked to the smallest of its variant: as many links as members, never all pairs.
+    is linked to the smallest of its variant: as many links as members, never all pairs. At most 65 share a variant.
     """
     out = fps.select("fp", _variants([0, *(1 << i for i in range(64))]).alias("v"))
     least = F.min("fp").over(Window.partitionBy("v"))
@@ -80,7 +83,9 @@ def far_links(fps: DataFrame) -> DataFrame:
 
     Three differing bits leave at most two in some two of three blocks. On each two blocks every fingerprint emits all
     variants within one bit, half of that radius; whoever meets there is checked against the exact distance. Variants
-    met by a single class have nothing left to link and go before the pairs are made.
+    of a single class go first, told by partial aggregates. Up to ``CROWD`` fingerprints of a variant are compared with
+    each other; those of a larger one meet in balls of all 64 bits instead, of one bit and of two, where at most 65 and
+    2,081 can share a variant, so that no crowd makes all its pairs.
     """
     rows = None
     for low, high in BLOCKS:
@@ -88,12 +93,21 @@ def far_links(fps: DataFrame) -> DataFrame:
         masks = [0, *(1 << i for i in range(64) if not drop >> i & 1)]
         part = fps.select("fp", "cls", _variants(masks, _signed(~drop & (1 << 64) - 1)).alias("v"))
         rows = part if rows is None else rows.union(part)
-    here = Window.partitionBy("v")
-    met = rows.select("fp", "cls", "v", F.min("cls").over(here).alias("low"), F.max("cls").over(here).alias("high")).filter("low < high")
-    met = written(met.select("fp", "cls", "v"), "met")
-    other = met.select("v", F.col("fp").alias("fp2"), F.col("cls").alias("cls2"))
-    pairs = met.join(other, "v").filter("cls < cls2 and bit_count(fp ^ fp2) = 3")
-    return pairs.select(F.col("cls2").alias("a"), F.col("cls").alias("b")).distinct()
+    shared = rows.groupBy("v").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count("*").alias("n")).filter("low < high")
+    shared = written(shared.select("v", "n"), "shared")
+    met = written(rows.join(small(shared), "v"), "met")
+    there = lambda df: df.withColumnsRenamed({"fp": "fp2", "cls": "cls2"})
+    few = met.filter(F.col("n") <= CROWD)
+    pairs = few.select("v", "fp", "cls").join(there(few.select("v", "fp", "cls")), "v").filter("cls < cls2 and bit_count(fp ^ fp2) = 3")
+    crowd = written(met.filter(F.col("n") > CROWD).select("fp", "cls").distinct(), "crowd")
+    if not crowd.isEmpty():
+        one = [0, *(1 << i for i in range(64))]
+        two = [*one, *((1 << i) | (1 << j) for i, j in combinations(range(64), 2))]
+        near, wide = (crowd.select("fp", "cls", _variants(m).alias("v")) for m in (one, two))
+        pairs = pairs.unionByName(near.join(there(wide), "v").filter("cls < cls2 and bit_count(fp ^ fp2) = 3"))
+    found = written(pairs.select(F.col("cls2").alias("a"), F.col("cls").alias("b")).distinct(), "far_links")
+    discard(shared, met, crowd)
+    return found
 
 
 def _classes(marks: DataFrame) -> DataFrame:
@@ -102,9 +116,12 @@ def _classes(marks: DataFrame) -> DataFrame:
     close = written(connected_components(close_links(nodes.select("fp"))), "close")
     classes = nodes.join(close, nodes.fp == close.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("cls"))
     classes = written(classes, "classes")
-    far = written(connected_components(far_links(classes.select("fp", "cls"))), "far")
-    classes = classes.join(far, classes.cls == far.node, "left").select("fp", "first", F.coalesce("root", "cls").alias("cls"))
-    return written(classes, "joined")
+    links = far_links(classes.select("fp", "cls"))
+    far = written(connected_components(links), "far")
+    joined = classes.join(far, classes.cls == far.node, "left").select("fp", "first", F.coalesce("root", "cls").alias("cls"))
+    joined = written(joined, "joined")
+    discard(nodes, close, classes, links, far)
+    return joined
 
 
 def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -119,10 +136,21 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     classes = _classes(marks)
     firsts = classes.groupBy("cls").agg(F.min("first").alias("component_id"))
     named = written(classes.select("fp", "cls").join(firsts, "cls").select("fp", "component_id"), "named")
+    discard(classes)
     return marks.join(named, marks.fingerprint == named.fp).select("doc_id", "fingerprint", "component_id")
 
 
-def keep_first(docs: DataFrame, words: int = 3) -> DataFrame:
-    """``docs`` with one row of each component, the smallest doc_id, then the smallest text; all columns as they were."""
-    roots = _classes(written(fingerprints(docs, words), "fingerprints")).select(F.col("fp").alias("node"), F.col("cls").alias("root"))
-    return keep_one(docs, lambda t: _signed(fingerprint(t, words)), roots)
+def keep_first(docs: DataFrame, least: float = similar.LEAST) -> DataFrame:
+    """``docs`` with one row of each group of near copies, the smallest doc_id, then text; all columns as they were.
+
+    Near copies have a five-word similarity of ``least`` or more, exactly told. At 0.8 that is about ten differing bits
+    of 64 and up to twenty, which no ball of affordable size spans; so the pairs that are told come from MinHash bands
+    (``similar``) in place of variants. Texts of equal words are copies; null texts and those without words are copies
+    of each other. A null doc_id comes after all others; rows of one doc_id and different texts are different documents;
+    of repeated rows one stays. Further columns stay; an empty table gives an empty table.
+    """
+    marks = written(similar.marks_of(docs), "marks")
+    roots = similar.components_of(docs, marks, least)
+    kept = keep_one(docs, similar.node("text"), marks.select("node", "doc_id"), roots)
+    discard(marks, roots)
+    return kept

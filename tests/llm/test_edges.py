@@ -91,7 +91,7 @@ def test_defined_results(docs, operators):
     assert not {1, 2, 3} & {*kept} and {4, 5, 6, 7, 8} <= {*kept}
     comps = {r.doc_id: r for r in operators["simhash"](docs).collect()}
     assert comps[1].fingerprint == 0 and comps[1].component_id == comps[3].component_id == 1 and comps[5].component_id == 4
-    assert sorted(r.doc_id for r in operators["keep_first"](docs).collect() if r.doc_id) == [1, 4, 6, 7, 8]
+    assert sorted(r.doc_id or 0 for r in operators["keep_first"](docs).collect()) == [0, 1, 4, 6, 7, 8]
     hits = sorted((r.doc_id or 0, r.item_id) for r in operators["decontam"](docs).collect())
     assert hits == [(0, 1), *[(4, 4)] * 4, *[(5, 4)] * 2]
     assert sorted(r.doc_id for r in operators["decontaminated"](docs).collect() if r.doc_id) == [1, 2, 3, 6, 7, 8]
@@ -113,7 +113,7 @@ def test_pages(spark):
 def test_keep_first_by_row(spark):
     """Null doc_ids, and one doc_id for different texts, lose no component; the choice does not depend on the order."""
     far = ["one two three four five six", "quick brown foxes jump over lazy dogs", "nothing in common with the others here"]
-    rows = [(None, far[0]), (None, far[1]), (None, far[1].upper()), (7, far[2]), (7, far[0] + " and more of it"), (3, far[2]), (9, None), (None, "")]
+    rows = [(None, far[0]), (None, far[1]), (None, far[1].upper()), (7, far[2]), (7, far[0] + " and more of it"), (3, far[2]), (9, None), (None, ""), (5, "same id"), (5, "Same  ID"), (5, "same id")]
     for order in (rows, rows[::-1]):
         got = [(r.doc_id, r.text) for r in simhash.keep_first(spark.createDataFrame(order, "doc_id long, text string")).collect()]
-        assert sorted(got, key=str) == sorted([(None, far[0]), (None, far[1].upper()), (7, far[0] + " and more of it"), (3, far[2]), (9, None)], key=str)
+        assert sorted(got, key=str) == sorted([(None, far[0]), (None, far[1].upper()), (7, far[0] + " and more of it"), (3, far[2]), (9, None), (5, "Same  ID")], key=str)
