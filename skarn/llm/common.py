@@ -84,30 +84,35 @@ def fresh_name(docs: DataFrame, name: str) -> str:
     return name
 
 
-def keep_one(docs: DataFrame, node: Column, marks: DataFrame, roots: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component: the smallest doc_id, nulls last, then the smallest text; all columns stay.
+def text_key(text: Column) -> Column:
+    """A 64-bit number of a text as it stands, by which a row is found again without moving its text."""
+    return F.xxhash64(text)
 
-    ``node`` makes a row's node, a 64-bit number, of its text; ``marks`` (node, doc_id) is the written table of both for
-    every row, and ``roots`` (node, root) the component of each node that isn't one by itself. Rows are told apart by
-    node and doc_id, so null and repeated doc_ids lose no text of another component. What goes is worked out from these
-    numbers alone; texts are shuffled only if too many rows go for a broadcast, or where rows of a component tie.
+
+def keep_one(docs: DataFrame, marks: DataFrame, roots: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component: the smallest doc_id, nulls last, then the smallest text key; all columns stay.
+
+    ``marks`` (key, node, doc_id) is the written table of each row's text key, node and doc_id, and ``roots`` (node, root)
+    has the component of each node that isn't one by itself. Rows are told apart by text and doc_id, so null and repeated
+    doc_ids lose no text of another component; of rows that repeat both, the first by its other columns stays. What goes
+    is worked out from these numbers alone; texts are shuffled only if too many rows go for a broadcast.
     """
-    ids = marks.groupBy(F.col("node").alias("n_"), F.col("doc_id").alias("d_")).agg(F.count("*").alias("rows_"))
-    ids = ids.join(roots.select(F.col("node").alias("n_"), "root"), "n_", "left").withColumn("r_", F.coalesce("root", "n_")).drop("root")
+    ids = marks.groupBy("node", F.col("key").alias("k_"), F.col("doc_id").alias("d_")).agg(F.count("*").alias("rows_"))
+    ids = ids.join(roots, "node", "left").withColumn("r_", F.coalesce("root", "node")).drop("root", "node")
     ids = written(ids, "rooted")
-    least = ids.groupBy("r_").agg(F.min("d_").alias("least_"), F.sum("rows_").alias("all_")).filter("all_ > 1").drop("all_")
-    more = written(ids.join(least, "r_").withColumn("first_", F.col("d_").eqNullSafe(F.col("least_"))).drop("least_"), "more")
-    ties = more.filter("first_").groupBy("r_").agg((F.sum("rows_") > 1).alias("tie_"))
-    goes = written(more.join(ties, "r_").filter("not first_ or tie_").select("n_", "d_", "r_", "first_"), "goes")
-    discard(ids, more)
-    name = fresh_name(docs, "node_")
-    rows = docs.withColumn(name, node)
-    same = lambda table: (rows[name] == table["n_"]) & rows["doc_id"].eqNullSafe(table["d_"])
-    gone = goes.select("n_", "d_")
+    order = F.struct(F.col("d_").isNull().alias("late"), F.col("d_").alias("d"), F.col("k_").alias("k"))
+    least = ids.groupBy("r_").agg(F.min(order).alias("least_"), F.sum("rows_").alias("all_")).filter("all_ > 1").drop("all_")
+    more = ids.join(least, "r_").withColumn("first_", (F.col("k_") == F.col("least_.k")) & F.col("d_").eqNullSafe(F.col("least_.d")))
+    goes = written(more.filter("not first_ or rows_ > 1").select("k_", "d_", "first_"), "goes")
+    discard(ids)
+    name = fresh_name(docs, "key_")
+    rows = docs.withColumn(name, text_key(docs["text"]))
+    same = lambda table: (rows[name] == table["k_"]) & rows["doc_id"].eqNullSafe(table["d_"])
+    gone = goes.select("k_", "d_")
     kept = rows.join(small(gone), same(gone), "left_anti").select(*(rows[c] for c in docs.columns))
     tied = goes.filter("first_")
     if tied.isEmpty():
         return kept
-    tied = rows.join(small(tied), same(tied)).select(F.struct(*(rows[c] for c in docs.columns)).alias("row_"), "r_")
-    best = tied.groupBy("r_").agg(F.min_by("row_", F.struct("row_.text", F.to_json("row_"))).alias("row_"))
+    tied = rows.join(small(tied), same(tied)).select(F.struct(*(rows[c] for c in docs.columns)).alias("row_"), "k_", "d_")
+    best = tied.groupBy("k_", "d_").agg(F.min_by("row_", F.to_json("row_")).alias("row_"))
     return kept.unionByName(best.select("row_.*"))

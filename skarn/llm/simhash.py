@@ -141,7 +141,7 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, least: float = similar.LEAST) -> DataFrame:
-    """``docs`` with one row of each group of near copies, the smallest doc_id, then text; all columns as they were.
+    """``docs`` with one row of each group of near copies, the smallest doc_id, then text key; all columns as they were.
 
     Near copies have a five-word similarity of ``least`` or more, exactly told. At 0.8 that is about ten differing bits
     of 64 and up to twenty, which no ball of affordable size spans; so the pairs that are told come from MinHash bands
@@ -151,6 +151,6 @@ def keep_first(docs: DataFrame, least: float = similar.LEAST) -> DataFrame:
     """
     marks = written(similar.marks_of(docs), "marks")
     roots = similar.components_of(docs, marks, least)
-    kept = keep_one(docs, similar.node("text"), marks.select("node", "doc_id"), roots)
+    kept = keep_one(docs, marks, roots)
     discard(marks, roots)
     return kept

@@ -429,14 +429,15 @@ def test_pipeline_near_copies_on_documents(spark, sf, monkeypatch, rows):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     odd = docs.filter("doc_id % 3 = 0").withColumn("doc_id", F.lit(None).cast("long")).unionByName(docs.filter("doc_id % 5 = 0").withColumn("doc_id", F.lit(7).cast("long")))
     docs = docs.unionByName(odd).unionByName(docs.filter("doc_id % 7 = 0"))
-    told = list({(r.doc_id, r.text): 0 for r in docs.collect()})
+    keys = {(r.doc_id, r.text): r.key for r in docs.withColumn("key", F.xxhash64("text")).collect()}
+    told = list(keys)
     words = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for _, t in told]
     sets = [{*zip(*(w[k:] for k in range(5)), strict=False)} if len(w) > 5 else {tuple(w)} for w in words]
     near = [(i, j) for i, j in itertools.combinations(range(len(told)), 2) if words[i] == words[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
     groups: dict[int, list[int]] = {}
     for i, root in plain_components(near, range(len(told))).items():
         groups.setdefault(root, []).append(i)
-    order = lambda i: (told[i][0] is None, told[i][0] or 0, told[i][1] is None, told[i][1] or "")
+    order = lambda i: (told[i][0] is None, told[i][0] or 0, keys[told[i]])
     best = sorted((told[min(g, key=order)] for g in groups.values()), key=repr)
     assert len(best) > 100 and sorted(((r.doc_id, r.text) for r in simhash.keep_first(docs).collect()), key=repr) == best
 
