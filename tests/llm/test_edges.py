@@ -103,6 +103,8 @@ def test_pages(spark):
     pages = spark.createDataFrame([(1, None, None), (2, "", ""), (3, "http://A.Com?x#y", "<p>hi"), (3, "http://A.Com?x#y", "<p>hi"), (None, "no scheme", "<b>" * 5000 + "x"), (4, "ftp://u/" + "a/" * 50_000, "<td>a</table>")], "page_id long, url string, html string")
     texts = [(r.page_id, r.text) for r in html.extract(pages).collect()]
     assert texts == [(1, ""), (2, ""), (3, "hi"), (3, "hi"), (None, "x"), (4, "a")]
+    clash = html.extract(pages.withColumns({c: F.lit("?") for c in (*CLASH, "text")}))
+    assert clash.columns == ["page_id", "text"] and [(r.page_id, r.text) for r in clash.collect()] == texts
     rules = urls.parse_rules("allow com/, block u/")
     found = {r.page_id: r for r in urls.judge(pages.withColumns({c: F.lit(1) for c in CLASH}), rules).collect()}
     assert (found[1].host, found[1].path, found[None].host) == ("", "", "") and found[3].host == "a.com" and found[3].path == "" and found[3].rule is None

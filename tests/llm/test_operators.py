@@ -299,6 +299,66 @@ def test_op8_layout():
     assert html.visible_text(page).split("\n") == ["a", "", "b cd", "", "- x", "- y", "    - z", "", "3. q", "4. r", "", "Name      | Qty", "apple pie | 3", "", "a", "  b", "", "t & e", "next"]
 
 
+@pytest.mark.parametrize(("page", "told"), [
+    ("<div>" * 3000 + "<div style='display:none'>SECRET</div>seen", "seen"),
+    ("<span aria-hidden=true>icon</span><textarea>\n a  b</textarea>", "icon a  b"),
+    ("<div style='visibility:hidden'>no<b style='visibility:visible'>yes</b><table><tr><td>no<td style='visibility: visible'>cell</table></div>", "yes\n\ncell"),
+    ("<details><summary>s</summary>no</details><details open><summary>t</summary>shown</details>", "s\nt\nshown"),
+    ("<ol start=1000><li>a<li value=7>b<li>c</ol><ol reversed><li>a<li>b</ol>", "1000. a\n7. b\n8. c\n\n2. a\n1. b"),
+    ("<style>.x{display:none} p.y, q{visibility:hidden} @media print{div{display:none}} #k{display:none!important}</style><div class=x>no</div><div class='x' style='display:block'>yes</div><p class=y>no<p>ok<i id=k style='display:inline'>no</i>", "yes\n\nok"),
+    ("<title>t</title><span>in</span><a>line</a>", "inline"),
+    ("<head><meta charset=x>text<li>q", "text\n- q"),
+    ("<table><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d</table>", "a | b\n  | c\n  | d"),
+    ("<table>" + "<tr><td rowspan=150>a<td>b" + "<tr><td>c" * 149 + "<tr><td>d<td>e</table>", "a | b\n" + "  | c\n" * 149 + "d | e"),
+    ("<table><tr><td colspan=150>w<td>v<tr>" + "<td>" * 150 + "<td>u</table>", "w | v\n  | u"),
+    ("<table><tr><td>" * 300 + "deep", "deep"),
+    ("<ul><li><p>a</p><p>b</p></li><li></li><li>c</ul>after", "- a\n\n  b\n- c\n\nafter"),
+])
+def test_op8_visibility_and_layout(page, told):
+    assert html.visible_text(page) == told
+
+
+def test_op8_deep_and_long_pages():
+    for page in ("<div>" * 30_000, "<ul><li>" * 2000, "<blockquote>" * 5000, "<table><tr><td>" * 2000, "<p>" * 50_000):
+        assert html.visible_text(page + "x<p>last").split()[-1] == "last"
+
+
+def plain_render(page):
+    """A second renderer, without a tree, for what the table's pages hold: lines at blocks, blanks at paragraphs, marks at items."""
+    from html import unescape
+
+    page = re.sub(r"(?s)<head.*?</head>|<(script|style).*?</\1>|<!--.*?-->|<!DOCTYPE[^>]*>", "", page)
+    lines, now, mark, blank, inside = [], "", "", False, False
+
+    def flush(force=False):
+        nonlocal now, mark, blank
+        if now.split() or force:
+            lines.extend([""] * (blank and bool(lines)) + [mark + " ".join(now.split())])
+            mark, blank = "  " if mark else "", False
+        now = ""
+
+    for token in re.findall(r"<[^>]*>|[^<]+", page):
+        tag = re.match(r"</?([a-z0-9]+)|", token)[1]
+        if token[0] != "<":
+            now += unescape(token)
+        elif tag == "br":
+            flush(force=True)
+        elif tag not in ("a", "b"):
+            flush()
+            blank |= inside or tag in ("p", "ul", "h1")
+            inside = token.startswith("<p")
+            mark = "- " if token.startswith("<li") else "" if tag in ("li", "ul") else mark
+    flush()
+    return "\n".join(lines)
+
+
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+def test_op8_equals_second_renderer(spark, folder):
+    pages = spark.read.parquet(f"/root/testdata/{folder}/pages.parquet")
+    found = pages.join(queries.op8_html(spark, f"/root/testdata/{folder}"), "page_id").collect()
+    assert len(found) == pages.count() and all(r.text == plain_render(r.html) for r in found)
+
+
 def test_op8_keeps_all_visible_words(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     for r in pages.join(html.extract(pages), "page_id").collect():
