@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 #: Kinds in the order in which spans of one start are listed; the first four are always kept, the others by score.
 BASE = ("email", "ip", "card", "phone")
-#: Characters on either side of a span in which context words count, and what one adds to the score.
+#: Characters on either side of a span in which context words count, and what one adds to the score or takes from it.
 NEAR, CONTEXT = 40, 0.35
+#: Words nearby that speak of other numbers, and so lower a score.
+AGAINST = frozenset({"order", "invoice", "part", "version", "isbn", "serial", "model", "sku", "tracking", "article"})
 #: Least score of a span of the added kinds.
 LEAST = 0.6
 KEPT = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("base", pa.bool_())]))
@@ -39,6 +41,16 @@ def mod97(text: str) -> bool:
     return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
 
 
+#: Length of an international account number by country, as its public registry has them.
+IBAN_LENGTHS = {
+    c[:2]: int(c[2:])
+    for c in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 "
+        "LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SD18 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+    ).split()
+}
+
+
 @dataclass(frozen=True)
 class Kind:
     """A pattern, what confirms its matches, a first score, and the words that raise it when nearby."""
@@ -50,9 +62,9 @@ class Kind:
     words: frozenset[str]
 
 
-LOCAL = "A-Za-z0-9._%+-"
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-LOCAL_END = re.compile(f"[^{LOCAL}]")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}")
+IBAN_REST = {n: re.compile(rf"(?: ?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])") for n in {*IBAN_LENGTHS.values()}}
 #: An address part begins where its run of digits begins: inside a run nothing can match that did not match before.
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 KINDS = (
@@ -60,7 +72,7 @@ KINDS = (
     Kind("ip", IP, lambda s: all(len(p := part.lstrip("0")) <= 3 and int(p or "0") <= 255 for part in s.split(".")), 0.6, frozenset({"ip", "host", "server", "address"})),
     Kind("card", re.compile(r"[0-9](?:[ -]?[0-9])+"), lambda s: 14 <= len(_digits(s)) <= 19 and luhn(s), 0.8, frozenset({"card", "visa", "credit", "pay", "payment"})),
     Kind("phone", re.compile(r"\+[0-9][ ().0-9-]+[0-9]"), lambda s: 10 <= len(_digits(s)) <= 15, 0.7, frozenset({"phone", "tel", "call", "mobile", "fax"})),
-    Kind("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])"), mod97, 0.9, frozenset({"iban", "account", "bank", "konto", "compte", "cuenta"})),
+    Kind("iban", IBAN, mod97, 0.95, frozenset({"iban", "account", "bank", "konto", "compte", "cuenta"})),
     Kind("ssn", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"), lambda s: s[:3] not in {"000", "666"} and s[0] != "9" and s[4:6] != "00" and s[7:] != "0000", 0.3, frozenset({"ssn", "social", "security"})),
     Kind("national_phone", re.compile(r"(?<![0-9+(-])(?:\([0-9]{3}\) |[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9-])"), lambda s: True, 0.3, frozenset({"phone", "tel", "telephone", "call", "mobile", "fax"})),
 )
@@ -83,9 +95,17 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", done)
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Stretches as long as an account number of the country that they begin with; words that follow don't belong to it."""
+    for m in IBAN.finditer(text):
+        size = IBAN_LENGTHS.get(m[0][:2])
+        if size and (rest := IBAN_REST[size].match(text, m.end())):
+            yield m.start(), rest.end()
+
+
 def _score(kind: Kind, text: str, start: int, end: int) -> float:
     around = WORD.findall((text[max(0, start - NEAR) : start] + " " + text[end : end + NEAR]).lower())
-    return min(1.0, kind.score + CONTEXT * any(w in kind.words for w in around))
+    return max(0.0, min(1.0, kind.score + CONTEXT * (any(w in kind.words for w in around) - any(w in AGAINST for w in around))))
 
 
 def spans_of(text: str | None) -> list[dict]:
@@ -98,6 +118,8 @@ def spans_of(text: str | None) -> list[dict]:
     for kind in KINDS:
         if kind.name == "email":
             matches = _emails(text)
+        elif kind.name == "iban":
+            matches = _ibans(text) if has_digit else iter(())
         else:
             matches = (m.span() for m in kind.pattern.finditer(text)) if has_digit else iter(())
         base = kind.name in BASE
@@ -150,7 +172,11 @@ def masked(text: str | None) -> str | None:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with the spans of ``text`` masked, and ``n_chars``, where there is one, counted anew; null stays null."""
+    """``docs`` with the spans of ``text`` masked, and ``n_chars``, where there is one, counted anew.
+
+    Every row stays, repeated ones and those of a null doc_id too. A null text stays null, an empty one empty; whole
+    texts of any length are read. Further columns stay as they were, and an empty table gives an empty table.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

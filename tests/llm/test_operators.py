@@ -215,6 +215,10 @@ def test_op5_base_spans(spark, sf, texts):
 def test_op5_checksums_context_and_masks():
     kinds = lambda t: [s["kind"] for s in pii.spans_of(t)]
     assert kinds("bank GB82 WEST 1234 5698 7654 32 ok") == ["iban"] and kinds("bank GB83 WEST 1234 5698 7654 32 ok") == []
+    for following in ("AND MORE", "BIC COBADEFF", "12 34", "", ", DE"):
+        assert [pii.masked(f"bank GB82 WEST 1234 5698 7654 32 {following}"), pii.masked(f"IBAN DE89370400440532013000 {following}")] == [f"bank [IBAN] {following}", f"IBAN [IBAN] {following}"]
+    assert kinds("GB82WEST12345698765432X") == [] and kinds("DE89 3704 0044 0532 0130 00 FR14 2004 1010 0505 0001 3M02 606") == ["iban", "iban"]
+    assert kinds("phone 555-123-4567 now") == ["national_phone"] and kinds("part order phone 555-123-4567 now") == []
     assert kinds("call 555-123-4567 now") == ["national_phone"] and kinds("part 555-123-4567 now") == []
     assert pii.masked("mail a@b.co or +1 (297) 555-8151.") == "mail [EMAIL] or [PHONE]."
     assert pii.masked(None) is None
