@@ -15,6 +15,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
 #: Rows that the trees are fitted on, about; buckets of a suffix table; weight of an even rate in a suffix's rate.
 TRAIN_ROWS, BUCKETS, PRIOR = 20_000, 4096, 10.0
+#: Parts of the labelled rows; a row that is learnt from has its suffix's rate from the other parts.
+FOLDS = 5
 #: Probability from which the trees block: both classes weigh alike, so 0.5 says nothing, and doubt allows.
 LEAST = 0.8
 FEATURES = ("f_length", "f_host_length", "f_labels", "f_depth", "f_digits", "f_entropy", "f_params", "f_hyphens", "f_longest", "f_domain_rate", "f_file_rate")
@@ -88,39 +90,58 @@ class Model:
     rates: dict[str, DataFrame]
     trees: PipelineModel | None
 
-    def with_rates(self, rows: DataFrame) -> DataFrame:
-        for name, rates in self.rates.items():
-            rows = rows.join(F.broadcast(rates), name, "left").withColumn(f"f_{name}_rate", F.coalesce(f"f_{name}_rate", F.lit(0.5)))
-        return rows
+    def probability(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with a double ``probability`` of being blocked; without trees it is 0."""
+        if self.trees is None:
+            return rows.withColumn("probability", F.lit(0.0))
+        found = self.trees.transform(_with_rates(rows, self.rates))
+        return found.withColumn("probability", vector_to_array("probability")[1])
 
     def blocked(self, rows: DataFrame) -> DataFrame:
         """``rows`` with a boolean ``blocked``; without trees nothing is blocked."""
-        rows = self.with_rates(rows)
-        if self.trees is None:
-            return rows.withColumn("blocked", F.lit(False))
-        return self.trees.transform(rows).withColumn("blocked", vector_to_array("probability")[1] >= LEAST)
+        return self.probability(rows).withColumn("blocked", F.col("probability") >= LEAST)
+
+
+def _with_rates(rows: DataFrame, rates: dict[str, DataFrame], *by: str) -> DataFrame:
+    for name, rate in rates.items():
+        rows = rows.join(F.broadcast(rate), [name, *by], "left").withColumn(f"f_{name}_rate", F.coalesce(f"f_{name}_rate", F.lit(0.5)))
+    return rows
+
+
+def with_fold(rows: DataFrame) -> DataFrame:
+    """``rows`` with the part (``fold``) that a URL is of, equal URLs in one part."""
+    return rows.withColumn("fold", F.pmod(F.xxhash64("url", F.lit("fold")), F.lit(FOLDS)))
 
 
 def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """Trees from rows of ``with_features`` with a ``label`` (1.0: block, 0.0: allow).
 
     What is labelled need not be like the rest, so both classes weigh alike, and a suffix never seen has an even rate.
-    The rates cover all labelled rows. The trees are fitted on a sample of about ``train_rows`` rows, drawn by a hash
-    of the URL; that bound is the only one.
+    The rates cover all labelled rows; a row that the trees learn from has those of the other ``FOLDS`` - 1 parts, so
+    that its own label never speaks for it. The trees are fitted on a sample of about ``train_rows`` rows, drawn by a
+    hash of the URL; that bound is the only one.
     """
     n, blocked = labelled.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
-    labelled = labelled.withColumn("weight", F.when(F.col("label") > 0.5, n / (2 * max(blocked, 1))).otherwise(n / (2 * max(n - blocked, 1))))
-    rates = {}
+    labelled = with_fold(labelled).withColumn("weight", F.when(F.col("label") > 0.5, n / (2 * max(blocked, 1))).otherwise(n / (2 * max(n - blocked, 1))))
+    rates, others = {}, {}
+    spark = labelled.sparkSession
     for name in ("domain", "file"):
-        rate = (F.sum(F.col("label") * F.col("weight")) + PRIOR / 2) / (F.sum("weight") + PRIOR)
-        found = labelled.groupBy(name).agg(rate.alias("rate")).collect()
-        rates[name] = labelled.sparkSession.createDataFrame([(r[0], r[1]) for r in found], f"{name} long, f_{name}_rate double")
-    model = Model(rates, None)
+        parts = labelled.groupBy(name, "fold").agg(F.sum(F.col("label") * F.col("weight")), F.sum("weight")).collect()
+        whole: dict[int, list[float]] = {}
+        for bucket, _, block, weight in parts:
+            total = whole.setdefault(bucket, [0.0, 0.0])
+            total[0] += block
+            total[1] += weight
+        mine = {(b, f): (block, weight) for b, f, block, weight in parts}
+        rate = lambda block, weight: (max(block, 0.0) + PRIOR / 2) / (max(weight, 0.0) + PRIOR)
+        rates[name] = spark.createDataFrame([(b, rate(*t)) for b, t in whole.items()], f"{name} long, f_{name}_rate double")
+        left = [(b, f, rate(t[0] - mine.get((b, f), (0, 0))[0], t[1] - mine.get((b, f), (0, 0))[1])) for b, t in whole.items() for f in range(FOLDS)]
+        others[name] = spark.createDataFrame(left, f"{name} long, fold long, f_{name}_rate double")
     if not 0 < blocked < n:
-        return model
+        return Model(rates, None)
     part = min(1.0, train_rows / n)
     sample = labelled.filter(F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < int(part * (1 << 20)) + 1)
-    sample = model.with_rates(sample).select("label", "weight", *FEATURES)
+    sample = _with_rates(sample, others, "fold").select("label", "weight", *FEATURES)
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     rows = assembler.transform(sample).select("label", "weight", "features")
     trees = GBTClassifier(weightCol="weight", maxIter=15, maxDepth=4, stepSize=0.3, seed=11, checkpointInterval=-1).fit(rows)
@@ -135,10 +156,14 @@ def judge(pages: DataFrame, rules: list[Rule], train_rows: int = TRAIN_ROWS) ->
     columns are ignored, and an empty table gives an empty table. Rules are a stated list; nothing is shuffled but the
     counts of the rates and what fitting gathers.
     """
+    rows, labelled, label = labelled_rows(pages, rules)
+    judged = fit(labelled, train_rows).blocked(rows).withColumn("block", F.when(F.col("rule").isNull(), F.col("blocked")).otherwise(label > 0.5))
+    return judged.select("page_id", "host", "path", "rule", F.when(F.col("block"), "block").otherwise("allow").alias("verdict"), F.when(F.col("rule").isNull(), "trees").otherwise("rule").alias("by"))
+
+
+def labelled_rows(pages: DataFrame, rules: list[Rule]) -> tuple[DataFrame, DataFrame, Column]:
+    """All rows with their rule and features, those that a rule decides with their label, and the label's expression."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
     rows = with_features(with_parts(rows)).withColumn("rule", rule_of(rules))
-    blocks = [r.text for r in rules if r.verdict == "block"]
-    label = F.when(F.col("rule").isin(blocks), 1.0).otherwise(0.0)
-    model = fit(rows.filter("rule is not null").withColumn("label", label), train_rows)
-    judged = model.blocked(rows).withColumn("block", F.when(F.col("rule").isNull(), F.col("blocked")).otherwise(F.col("rule").isin(blocks)))
-    return judged.select("page_id", "host", "path", "rule", F.when(F.col("block"), "block").otherwise("allow").alias("verdict"), F.when(F.col("rule").isNull(), "trees").otherwise("rule").alias("by"))
+    label = F.when(F.col("rule").isin([r.text for r in rules if r.verdict == "block"]), 1.0).otherwise(0.0)
+    return rows, rows.filter("rule is not null").withColumn("label", label), label
