@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, keep_rows, written
+from .common import chunks, discard, keep_rows, written
 
 RUN = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
@@ -22,6 +22,8 @@ START = "▁"
 UNKNOWN = 1e-7
 #: Documents for each language that training reads, about; documents whose words are scored at once; words kept scored.
 TRAIN_DOCS, TOGETHER, KEPT_WORDS = 6000, 512, 500_000
+#: Bytes of the table of kept words' scores at most; many languages keep fewer words.
+KEPT_BYTES = 64 << 20
 ROUNDS = 3
 #: Signs whose probabilities stay above the least float, at ``UNKNOWN`` each; words' signs that are worked on at once.
 SAFE, SIGNS = 40, 1 << 15
@@ -223,16 +225,19 @@ def _forward(index: PieceIndex, n: int, hits: tuple, state: np.ndarray, chance)
 
 
 class Scorer:
-    """Sums of word scores for texts; remembers the scores of up to ``KEPT_WORDS`` words."""
+    """Sums of word scores for texts; remembers the scores of words seen, up to ``KEPT_WORDS`` and ``KEPT_BYTES``."""
 
     def __init__(self, model: Model) -> None:
         self.model, self.known = model, {}
-        self.table = np.zeros((KEPT_WORDS, len(model.languages)))
+        self.most = min(KEPT_WORDS, max(120_000, KEPT_BYTES // (8 * max(1, len(model.languages)))))
+        self.table = np.zeros((1 << 13, len(model.languages)))
 
     def _learn(self, words: set[str]) -> None:
         for some in chunks(list(words), 20_000):
-            if len(self.known) + len(some) > KEPT_WORDS:
+            if len(self.known) + len(some) > self.most:
                 raise OverflowError
+            while len(self.known) + len(some) > len(self.table):
+                self.table = np.vstack([self.table, np.zeros_like(self.table)])
             parts = [(i, p) for i, w in enumerate(some) if (p := marked(w))]
             total = np.zeros((len(some), self.table.shape[1]))
             if parts:
@@ -256,7 +261,7 @@ class Scorer:
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         words = [RUN.findall(t.lower()) if t else [] for t in texts]
         every = set().union(*words).difference(self.known)
-        if len(every) + len(self.known) <= KEPT_WORDS:
+        if len(every) + len(self.known) <= self.most:
             self._learn(every)
         tags, scores = [], []
         for some in words:
@@ -320,6 +325,7 @@ def fit(docs: DataFrame, vocabulary_path: str, train_docs: int = TRAIN_DOCS, rou
         for r in step.groupBy("piece", "lang").agg(F.sum("uses").alias("uses")).toLocalIterator():
             uses[r.piece, r.lang] = r.uses
         model = Model(pieces, languages, _normalised(uses))
+    discard(words)
     return model
 
 
@@ -343,7 +349,11 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.35) -> DataFrame:
-    """``docs`` without texts that are undetermined or whose language is less sure than ``least``; all columns as they were."""
+    """``docs`` without texts that are undetermined or whose language is less sure than ``least``; all columns as they were.
+
+    Null and empty texts and those without a letter go; every other row is judged alone by its whole text, so repeated
+    rows and null doc_ids stay or go alike. An empty table gives an empty table.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge_of():

@@ -40,11 +40,12 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 4 == 2)
-    taught = docs.filter("not coalesce(held_out, false)").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    docs = _table(spark, sf_dir, "documents")
+    taught = docs.filter(~held_out).select("doc_id", "text", "lang")
     model = langid.fit(taught, public_tokenizers.path("piece_bpe_32k.model"))
     found = langid.identify(docs, model)
-    return found.withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 4 == 2).select("doc_id", "held_out", "lang_pred", "score")
+    return found.withColumn("held_out", held_out).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

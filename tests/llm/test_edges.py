@@ -59,6 +59,18 @@ def operators(items, model):
     }
 
 
+@pytest.mark.parametrize("most", [1 << 23, 0])
+def test_decontamination_both_ways(docs, items, operators, monkeypatch, most):
+    """A benchmark in one block and one joined by shuffles have the same defined results."""
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", most)
+    hits = sorted((r.doc_id or 0, r.item_id) for r in operators["decontam"](docs).collect())
+    assert hits == [(0, 1), *[(4, 4)] * 4, *[(5, 4)] * 2]
+    more = docs.withColumns({c: F.lit("?") for c in (*CLASH, "key_", "dkey", "ikey", "width", "value")})
+    assert sorted(r.doc_id or 0 for r in operators["decontaminated"](more).collect()) == [0, 1, 2, 3, 6, 7, 8]
+    assert operators["decontaminated"](docs.limit(0)).count() == operators["decontam"](docs.limit(0)).count() == 0
+    assert decontam.decontaminated(docs, items.limit(0)).count() == len(ROWS)
+
+
 NAMES = ["bpe", "langid", "keep_identified", "pii", "redact", "shards", "quality", "decontam", "decontaminated", "simhash", "keep_first", "licenses"]
 
 

@@ -410,10 +410,12 @@ def test_op8_keeps_all_visible_words(spark, sf):
         assert not words - Counter(re.findall(r"[^\W_]{3,}", r.text))
 
 
-def test_op9_equals_brute_force(spark):
+def test_op9_equals_brute_force(spark, monkeypatch):
     sf = "/root/testdata/sf0.01"
     docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
     found = {(r.doc_id, r.item_id): r.containment for r in decontam.contained_items(docs, items).collect()}
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 0)
+    assert found == {(r.doc_id, r.item_id): r.containment for r in decontam.contained_items(docs, items).collect()}
     runs = lambda w: {*zip(*(w[i:] for i in range(5)), strict=False)}
     told = {}
     wanted = {r.item_id: runs(decontam.words_of(r.text)) for r in items.collect()}
@@ -437,6 +439,8 @@ def test_op9_partial_containment_and_blocks(spark, monkeypatch):
     told = {(d, i) for d, t in rows for i, x in items if len(runs(x.split()) & runs(t.split())) >= 0.8 * len(runs(x.split()))}
     assert {(r.doc_id, r.item_id) for r in decontam.contained_items(docs, bench).collect()} == told
     monkeypatch.setattr(decontam, "BLOCK_BYTES", 4000)
+    monkeypatch.setattr(decontam, "AT_ONCE", 2)
+    assert decontam._one_block(decontam._items(bench)) is None
     assert {(r.doc_id, r.item_id) for r in decontam.contained_items(docs, bench).collect()} == told
     assert {r.doc_id for r in decontam.decontaminated(docs, bench).collect()} == {d for d, _ in rows} - {d for d, _ in told}
 
