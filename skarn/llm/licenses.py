@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, small, written
 
 #: Wording of license notices and of the beginnings of license texts, by SPDX identifier.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -51,8 +51,6 @@ LEAST, FILE_SHARE = 0.6, 0.2
 COMMENT = re.compile(r"\s*(?://|/\*|\*|#|--|;|%|<!--|@?rem\b)[\s/*#;%-]*", re.I)
 NAMED = re.compile(r"(?:un)?licen[sc]e|copying", re.I)
 SHORT = 1000
-#: Rows of a table at most that is broadcast; a larger one is joined by a shuffle.
-BROADCAST_ROWS = 10_000
 
 
 def terms_of(text: str) -> list[str]:
@@ -145,14 +143,17 @@ def score_blocks(blocks: DataFrame, least: float = LEAST) -> DataFrame:
     seen = terms.groupBy("term").agg(F.sum("n").alias("df")).unionByName(known.groupBy("term").agg(F.count("*").alias("df")))
     idf = seen.groupBy("term").agg((F.log(F.lit(1.0 + total) / (1 + F.sum("df"))) + 1).alias("idf"))
     idf = written(idf, "idf")
-    terms = terms.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    known = known.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
+    raw, near = terms, small(idf)
+    terms = terms.join(near, "term").withColumn("w", F.col("tf") * F.col("idf"))
+    known = known.join(near, "term").withColumn("w", F.col("tf") * F.col("idf"))
     known = known.withColumn("v", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("license", "k"))))
     sizes = terms.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
     match = terms.join(F.broadcast(known.select("license", "k", "term", "v")), "term").groupBy("key", "license", "k").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
     best = match.join(sizes, "key").withColumn("score", F.round(F.col("dot") / F.col("size"), 9)).filter(F.col("score") >= least)
     top = best.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"))
-    return top.select("key", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"))
+    top = written(top.select("key", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score")), "scores")
+    discard(raw, idf)
+    return top
 
 
 def scan(files: DataFrame, least: float = LEAST, file_share: float = FILE_SHARE) -> DataFrame:
@@ -163,15 +164,16 @@ def scan(files: DataFrame, least: float = LEAST, file_share: float = FILE_SHARE)
     license of the nearest ancestor directory that has a license file; else ``none``. A license file is one named like
     LICENSE, LICENCE, COPYING or UNLICENSE, or one whose license blocks hold ``file_share`` of its words; of several in
     a directory the best score counts, then the first license in order. A null path has no directory; a null or empty
-    text has no license of its own; rows of one doc_id and path are one file and come back as often as they were there; further columns are ignored; an empty table gives
-    an empty table. Only blocks that hold a cue and directories are shuffled, never other texts.
+    text has no license of its own; rows of one doc_id and path are one file and come back as often as they were there; further columns are ignored; an empty
+    table gives an empty table. Only blocks that hold a cue and directories are shuffled, never other texts. A directory
+    that holds a third of all files, and the root above all of them, are the small side of a broadcast, or of a shuffle
+    whose large side adaptive execution splits.
     """
     rows = files.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
     blocks = find_blocks(rows).withColumns({"key": F.md5("block"), "words": F.size(F.split("block", " "))})
     blocks = written(blocks, "blocks")
     distinct = blocks.groupBy("key").agg(F.min("block").alias("block"), F.count("*").alias("n"))
-    scores = written(score_blocks(distinct, least), "scores")
-    hits = blocks.drop("block").join(F.broadcast(scores) if scores.count() <= BROADCAST_ROWS else scores, "key")
+    hits = blocks.drop("block").join(small(score_blocks(distinct, least)), "key")
     around = F.collect_set(F.struct("low", "high", "license")).over(Window.partitionBy("doc_id", "path", "file"))
     wider = "x -> x.low <= low and x.high >= high and x.high - x.low > high - low"
     hits = hits.withColumn("around", around).withColumn("outer", F.expr(f"not exists(around, {wider})"))
@@ -182,15 +184,18 @@ def scan(files: DataFrame, least: float = LEAST, file_share: float = FILE_SHARE)
     named = F.regexp_extract("path", "([^/]*)$", 1).rlike("(?i)^(un)?licen[sc]e|^copying")
     holders = own.filter(named | (F.col("share") >= file_share)).withColumn("dir", folder(F.col("path"))).filter("dir is not null")
     holders = holders.groupBy("dir").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b")).select(F.col("dir").alias("up"), F.col("b.license").alias("up_license"), (-F.col("b.s")).alias("up_score"))
+    holders = written(holders, "holders")
+    discard(blocks)
     dirs = rows.select(folder(F.col("path")).alias("dir")).filter("dir is not null").distinct()
     parts = F.split("dir", "/")
     ups = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.concat_ws("/", F.slice(parts, 1, i)))
-    above = dirs.select("dir", F.explode(F.array_distinct(ups)).alias("up")).join(holders, "up")
+    above = dirs.select("dir", F.explode(F.array_distinct(ups)).alias("up")).join(small(holders), "up")
     nearest = above.groupBy("dir").agg(F.max(F.struct(F.length("up").alias("n"), "up", "up_license", "up_score")).alias("b"))
     nearest = written(nearest.select("dir", "b.up", "b.up_license", "b.up_score"), "nearest")
+    discard(holders)
     ids = written(rows.select("doc_id", "path", folder(F.col("path")).alias("dir")), "files")
     mine = own.select(F.col("doc_id").alias("o_id"), F.col("path").alias("o_path"), "license", "score")
-    out = ids.join(mine, ids["doc_id"].eqNullSafe(mine["o_id"]) & ids["path"].eqNullSafe(mine["o_path"]), "left").join(nearest, "dir", "left")
+    out = ids.join(mine, ids["doc_id"].eqNullSafe(mine["o_id"]) & ids["path"].eqNullSafe(mine["o_path"]), "left").join(small(nearest), "dir", "left")
     return out.select(
         "doc_id",
         "path",

@@ -165,6 +165,64 @@ def test_op3_scores_by_hand(spark):
     assert got.license == best[1] == "MIT" and abs(got.score - best[0]) < 1e-8
 
 
+def plain_scan(files):
+    """License scan of (doc_id, path, text) in plain Python: cosine of every block to every template, then ancestors."""
+    blocks = {(i, p): [b for b in licenses.blocks_of(t, p) if b[2]] for i, p, t in files}
+    count = Counter(b[2] for found in blocks.values() for b in found)
+    told = [(x, Counter(licenses.terms_of(t))) for x, ts in licenses.TEMPLATES.items() for t in ts]
+    df = Counter()
+    for words, n in [(Counter(b.split()), n) for b, n in count.items()] + [(t, 1) for _, t in told]:
+        for w in words:
+            df[w] += n
+    weight = {w: math.log((1 + sum(count.values()) + len(told)) / (1 + n)) + 1 for w, n in df.items()}
+    norm = lambda t: math.sqrt(sum((n * weight[w]) ** 2 for w, n in t.items()))
+    scores = {}
+    for block in count:
+        words = Counter(block.split())
+        every = [(-round(sum(n * words[w] * weight[w] ** 2 for w, n in t.items()) / norm(t) / norm(words), 9), x) for x, t in told]
+        if (best := min(every))[0] <= -licenses.LEAST:
+            scores[block] = best
+    own, dirs = {}, {}
+    for i, p, t in files:
+        hits = [(low, high, b, *scores[b]) for low, high, b in blocks[i, p] if b in scores]
+        wider = lambda h: [o for o in hits if o[0] <= h[0] and o[1] >= h[1] and o[1] - o[0] > h[1] - h[0]]  # noqa: E731, B023
+        hits = [(h, wider(h)) for h in hits if all(o[4] == h[4] for o in wider(h))]
+        if hits:
+            own[i, p] = score, name = min((h[3], h[4]) for h, _ in hits)
+            share = sum(len(h[2].split()) for h, outer in hits if not outer) / len(licenses.terms_of(t))
+            if p is not None and (share >= licenses.FILE_SHARE or re.match("(?i)(un)?licen[sc]e|copying", p.rsplit("/", 1)[-1])):
+                folder = p.rpartition("/")[0]
+                dirs[folder] = min(dirs.get(folder, (1, "")), (score, name))
+    out = {}
+    for i, p, _ in files:
+        up = None if p is None else p.rpartition("/")[0]
+        while up is not None and up not in dirs:
+            up = up.rpartition("/")[0] if up else None
+        if (i, p) in own:
+            out[i] = (own[i, p][1], -own[i, p][0], "own", None)
+        elif up is not None:
+            out[i] = (dirs[up][1], -dirs[up][0], "inherited", up)
+        else:
+            out[i] = (None, None, "none", None)
+    return out
+
+
+def test_op3_equals_brute_force(spark, sf, texts):
+    """The whole table by its query, then with license files planted in some folders of the tree."""
+    found = queries.op3_licenses(spark, sf).collect()
+    files = [(r.doc_id, r.path, texts[r.doc_id]) for r in found]
+    folders = sorted({p.rsplit("/", n)[0] for _, p, _ in files for n in (1, 2, 3)})
+    notices = [t for given in licenses.TEMPLATES.values() for t in given]
+    planted = [(10**6 + i, f"{f}/{('LICENSE', 'notice.txt')[i % 2]}", notices[i % len(notices)] + " plain words" * (i % 7)) for i, f in enumerate(folders) if i % 3]
+    more = licenses.scan(spark.createDataFrame(files + planted, "doc_id long, path string, text string")).collect()
+    assert {r.origin for r in more} == {"own", "inherited", "none"}
+    for rows, told in ((found, plain_scan(files)), (more, plain_scan(files + planted))):
+        for r in rows:
+            license, score, origin, up = told[r.doc_id]
+            assert (r.license, r.origin, r.inherited_from) == (license, origin, up)
+            assert r.score == score or abs(r.score - score) < 1e-7
+
+
 def test_op3_on_documents(spark, sf, texts):
     found = by_id(queries.op3_licenses(spark, sf))
     for i, text in texts.items():
