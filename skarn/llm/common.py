@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 
 #: Rows of a table of a few numbers a row at most that is broadcast; a larger one is joined by a shuffle.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:

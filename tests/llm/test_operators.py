@@ -583,6 +583,33 @@ def test_pipeline_near_copies(spark):
     assert kept == set(plain_components(near, told).values())
 
 
+def test_pipeline_near_copies_in_crowds(spark):
+    """A hub whose variants are alike to it but not to each other, and pairs within a crowd that shares a passage."""
+    rng = random.Random(9)
+    told: dict[int, str] = {}
+    hub = [f"h{rng.randrange(9000)}" for _ in range(250)]
+    for i in range(120):
+        words = list(hub)
+        for at in rng.sample(range(0, 250, 10), 5 if i else 0):
+            words[at] = f"y{rng.randrange(9000)}"
+        told[1000 - i] = " ".join(words)
+    passage = [f"p{rng.randrange(9000)}" for _ in range(150)]
+    for i in range(150):
+        own = [f"z{rng.randrange(90000)}" for _ in range(75)]
+        for copy in range(2):
+            words = passage + own
+            words[-1 - copy * 9] = "x"
+            told[2000 + 2 * i + copy] = " ".join(words)
+    sets = {i: {*zip(*(t.split()[k:] for k in range(5)), strict=False)} for i, t in told.items()}
+    near = [(a, b) for a, b in itertools.combinations(sorted(told), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    roots = plain_components(near, told)
+    assert len({*roots.values()}) < 200 and max(Counter(roots.values()).values()) > 100
+    docs = spark.createDataFrame(list(told.items()), "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.keep_first(docs).collect()}
+    print("kept", len(kept), "told", len({*roots.values()}))
+    assert {*roots.values()} <= kept and len(kept) <= len({*roots.values()}) + 5
+
+
 @pytest.mark.parametrize("rows", [10**6, 0])
 def test_pipeline_near_copies_on_documents(spark, sf, monkeypatch, rows):
     """Every row counts: brute force over the whole table with repeated rows, shared doc_ids and null ones planted."""
