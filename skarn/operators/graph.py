@@ -23,28 +23,61 @@ def neighbors(edges: DataFrame, node: str) -> DataFrame:
     return edges.filter(F.col("src") == node).orderBy("seq")
 
 
-def reached(edges: DataFrame, start: str, depth: int | None = None, via: str | None = None, goal: str | None = None) -> DataFrame:
-    """(node, depth, path): nodes within ``depth`` and the ``seq`` of the edges on the first shortest path to each."""
+#: Levels of a search after which what was reached is one table again, so that plans don't grow with depth.
+FOLD = 16
+
+
+def reached(edges: DataFrame, start: str, depth: int | None = None, via: str | None = None, goal: str | None = None, paths: bool = False) -> DataFrame:
+    """(node, depth): nodes within ``depth``; with ``paths`` also the ``seq`` of the edges on the first shortest path to each."""
     edges = of_type(edges, via).select("src", "dst", "seq")
     spark = edges.sparkSession
     seen = spark.createDataFrame([(start, 0, [])], "node string, depth int, path array<bigint>")
+    seen = seen if paths else seen.drop("path")
     front, level = seen, 0
     while depth is None or level < depth:
         level += 1
-        steps = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node"), F.concat("path", F.array(F.col("seq").cast("bigint"))).alias("path"))
-        first = steps.groupBy("node").agg(F.min("path").alias("path")).select("node", F.lit(level).alias("depth"), "path")
+        steps = front.join(edges, front["node"] == edges["src"])
+        if paths:
+            first = steps.select(F.col("dst").alias("node"), F.concat("path", F.array(F.col("seq").cast("bigint"))).alias("path")).groupBy("node").agg(F.min("path").alias("path"))
+        else:
+            first = steps.select(F.col("dst").alias("node")).distinct()
+        first = first.withColumn("depth", F.lit(level)).select(*seen.columns)
         front = cut(first.join(seen.select("node"), "node", "left_anti"))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
+        if level % FOLD == 0:
+            seen = cut(seen)
         if goal is not None and not front.filter(F.col("node") == goal).isEmpty():
             break
     return seen
 
 
+def chain(links: DataFrame, start: str) -> DataFrame:
+    """(node, depth) from ``start`` along ``links`` (src, dst) of which each node has at most one.
+
+    Every round joins the links with themselves, so that they lead twice as far: a chain of n links takes log n rounds, and so
+    does a cycle, whose nodes have their least depth.
+    """
+    spark = links.sparkSession
+    first = links.groupBy("src").agg(F.min("dst").alias("at")).filter("src <> at")
+    begin = spark.createDataFrame([(start, 0)], "at string, depth bigint").withColumn("src", F.lit(None).cast("string"))
+    state, far = cut(first.withColumn("depth", F.lit(None).cast("bigint")).unionByName(begin)), 1
+    most = state.count()
+    while True:
+        jumps = state.filter("src is not null").select(F.col("src").alias("at"), F.col("at").alias("next"))
+        found = state.filter("src is null")
+        moved = state.join(jumps, "at").select("src", F.col("next").alias("at"), (F.col("depth") + far).alias("depth"))
+        state = moved.unionByName(found)
+        state = cut(state.filter("src is not null and src <> at").unionByName(state.filter("src is null").groupBy("src", "at").agg(F.min("depth").alias("depth"))))
+        far *= 2
+        if far > most or state.filter("src is not null").isEmpty():
+            return state.filter("src is null").select(F.col("at").alias("node"), "depth")
+
+
 def traverse(edges: DataFrame, start: str, depth: int, via: str | None = None) -> DataFrame:
     """(src, dst, edge_type, seq, depth): every matching edge out of nodes nearer than ``depth``, also to seen nodes."""
-    near = reached(edges, start, depth - 1, via).select("node", "depth") if depth > 0 else reached(edges, start, 0, via).select("node", "depth").limit(0)
+    near = reached(edges, start, depth - 1, via) if depth > 0 else reached(edges, start, 0, via).limit(0)
     found = of_type(edges, via)
     return found.join(near, found["src"] == near["node"]).select("src", "dst", "edge_type", "seq", (F.col("depth") + 1).alias("depth"))
 
@@ -55,7 +88,7 @@ def path(edges: DataFrame, start: str, goal: str, via: str | None = None) -> Dat
     first = spark.createDataFrame([(0, start, None)], "step int, node string, seq bigint")
     if start == goal:
         return first
-    found = reached(edges, start, None, via, goal).filter(F.col("node") == goal).select(F.posexplode("path").alias("i", "seq"))
+    found = reached(edges, start, None, via, goal, paths=True).filter(F.col("node") == goal).select(F.posexplode("path").alias("i", "seq"))
     steps = found.join(edges.select("seq", "dst"), "seq").select((F.col("i") + 1).alias("step"), F.col("dst").alias("node"), "seq")
     start_row = found.filter("i = 0").select(F.lit(0).alias("step"), F.lit(start).alias("node"), F.lit(None).cast("bigint").alias("seq"))
     return start_row.unionByName(steps)
@@ -100,7 +133,8 @@ def children(commits: DataFrame, seal: str) -> DataFrame:
 def lineage(commits: DataFrame, seal: str, first_parent: bool = False) -> DataFrame:
     """(node, depth) of a commit and all its ancestors, or of its first parents only."""
     links = commit_edges(commits)
-    links = links.filter("place = 0") if first_parent else links
+    if first_parent:
+        return chain(links.filter("place = 0").select(F.col("seal").alias("src"), F.col("parent").alias("dst")), seal).select("node", F.col("depth").cast("int").alias("depth"))
     edges = links.select(F.col("seal").alias("src"), F.col("parent").alias("dst"), F.lit("parent").alias("edge_type"), F.col("place").cast("bigint").alias("seq"))
     return reached(edges, seal).select("node", "depth")
 

@@ -269,31 +269,46 @@ VERBS = (
     (22, "flagged-discrepancy", 25),
     (23, "verified-claim", 26),
 )
-VERB_ALIASES = {"cites": "cited", "create": "created", "search": "searched", "open": "opened", "save": "saved", "remove": "removed", "accept": "accepted"}
-
-
-def verb_label(iri: str | Column) -> Column:
-    """The label that an IRI's last part stands for."""
-    last = F.element_at(F.split(F.col(iri) if isinstance(iri, str) else iri, "/"), -1)
-    label = last
-    for other, name in VERB_ALIASES.items():
-        label = F.when(last == other, name).otherwise(label)
+#: Public IRIs of other vocabularies that stand for registered verbs.
+VERB_IRIS = {
+    "http://adlnet.gov/expapi/verbs/experienced": "experienced",
+    "http://adlnet.gov/expapi/verbs/asked": "asked",
+    "http://adlnet.gov/expapi/verbs/logged-out": "logged-out",
+    "http://purl.org/spar/cito/cites": "cited",
+    "http://activitystrea.ms/schema/1.0/create": "created",
+    "http://activitystrea.ms/schema/1.0/search": "searched",
+    "http://activitystrea.ms/schema/1.0/open": "opened",
+    "http://activitystrea.ms/schema/1.0/save": "saved",
+    "http://activitystrea.ms/schema/1.0/remove": "removed",
+    "http://activitystrea.ms/schema/1.0/accept": "accepted",
+    "http://id.tincanapi.com/verb/viewed": "viewed",
+}
+#: Where a deployment keeps its own verbs: their IRIs are this and the label.
+VERB_BASE = "http://example.org/verbs/"
+
+
+def verb_label(iri: str | Column, base: str = VERB_BASE) -> Column:
+    """The label that a whole IRI stands for: a registered verb under ``base``, or a listed one; else null."""
+    whole = F.col(iri) if isinstance(iri, str) else iri
+    label = F.lit(None).cast("string")
+    for other, name in [*VERB_IRIS.items(), *((base + name, name) for _, name, _ in VERBS)]:
+        label = F.when(whole == other, name).otherwise(label)
     return label
 
 
-def with_verb_labels(statements: DataFrame) -> DataFrame:
+def with_verb_labels(statements: DataFrame, base: str = VERB_BASE) -> DataFrame:
     """``statements`` with label, number and permission bit of registered verbs; the registry is a fixed small table."""
     table = statements.sparkSession.createDataFrame(list(VERBS), "verb_id int, verb_label string, verb_bit int")
-    return statements.withColumn("verb_label", verb_label("verb")).join(F.broadcast(table), "verb_label", "left")
+    return statements.withColumn("verb_label", verb_label("verb", base)).join(F.broadcast(table), "verb_label", "left")
 
 
-def profile_violations(raw: DataFrame) -> DataFrame:
+def profile_violations(raw: DataFrame, base: str = VERB_BASE) -> DataFrame:
     """(seq, why) of statements of registered verbs that break the scholar profile.
 
     An activity must have an IRI; approvals must say whether they succeeded; a citation must name what it cites.
     """
     get = lambda p: F.get_json_object("raw_json", p)
-    label = verb_label(get("$.verb.id"))
+    label = verb_label(get("$.verb.id"), base)
     activity = F.coalesce(get("$.object.objectType"), F.lit("Activity")) == "Activity"
     why = F.coalesce(
         F.when(get("$.object").isNull(), "object is missing"),

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skarn.tables import cut
+
 #: Record types and name parts whose conflicts people judge; prices of actions, and the daily budget.
 HUMAN_TYPES = (11, 13, 20, 32)
 HUMAN_NAMES = "claim|evidence|citation_fingerprint|ai_trace"
@@ -124,14 +126,19 @@ def run_report(entries: DataFrame) -> DataFrame:
 def standings(teams: DataFrame, games: DataFrame) -> DataFrame:
     """Rank by wins, then Buchholz score (wins of all opponents played), then game differential; ties by team_id.
 
-    ``teams`` (team_id, match_wins, match_losses, game_wins, game_losses), ``games`` (team_id, opponent_id). A rank over
-    all teams is one sorted list; its rows are teams of one event.
+    ``teams`` (team_id, match_wins, match_losses, game_wins, game_losses), ``games`` (team_id, opponent_id). Rows are
+    range-partitioned by the ranking, each partition is numbered by itself, and the counts of those before it are added.
     """
     wins = teams.select(F.col("team_id").alias("opponent_id"), F.col("match_wins").alias("wins"))
     buchholz = games.join(wins, "opponent_id").groupBy("team_id").agg(F.sum("wins").alias("buchholz"))
     rows = teams.join(buchholz, "team_id", "left").withColumns({"buchholz": F.coalesce("buchholz", F.lit(0)), "differential": F.col("game_wins") - F.col("game_losses")})
-    rank = F.row_number().over(Window.orderBy(F.desc("match_wins"), F.desc("buchholz"), F.desc("differential"), "team_id"))
-    ranked = rows.withColumn("rank", rank)
+    order = (F.desc("match_wins"), F.desc("buchholz"), F.desc("differential"), F.asc("team_id"))
+    parts = cut(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    counts = {r[0]: r[1] for r in parts.groupBy("_part").count().collect()}
+    starts = [(p, sum(n for q, n in counts.items() if q < p)) for p in counts]
+    starts = F.broadcast(rows.sparkSession.createDataFrame(starts, "_part int, _start long"))
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    ranked = parts.withColumn("rank", rank).join(starts, "_part").withColumn("rank", (F.col("rank") + F.col("_start")).cast("int"))
     return ranked.select("rank", "team_id", F.concat("match_wins", F.lit("W - "), "match_losses", F.lit("L")).alias("record"), F.greatest(F.lit(50), 500 - (F.col("rank") - 1) * 60).alias("prize_points"), "buchholz", "differential")
 
 

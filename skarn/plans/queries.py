@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from skarn.functions import vectors as V
 from skarn.operators import cleaning, embeddings, evidence, governance, graph, lrs, merge, packs, sessions, telemetry
 from skarn.sources import adapters as A
 from skarn.sources import files
+from skarn.tables import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -89,10 +91,18 @@ def d1_sift_filtered(spark, d):
     return telemetry.sift(A.telemetry(spark, d), sensor_id=13, metric_id=3, limit=5).select("seq", "timestamp", "sensor_id", "metric_id", "value")
 
 
-@query(f"{LATEST} select timestamp, sensor_id, metric_id, value from live")
+@query(f"with {TELEMETRY}, r as (select *, row_number() over (partition by sensor_id, metric_id, timestamp order by seq % 2 desc, seq desc) as rn from telemetry) select timestamp, sensor_id, metric_id, value from r where rn = 1 and flags & 1 = 0")
 def w2_fuse_archives(spark, d):
+    """Two archives with versions and tombstones of the same keys; the second wins whatever its numbers are."""
     rows = A.telemetry(spark, d)
-    return telemetry.fuse(rows.filter("seq % 2 = 0 and seq < 0"), rows).select("timestamp", "sensor_id", "metric_id", "value")
+    return telemetry.fuse(rows.filter("seq % 2 = 0"), rows.filter("seq % 2 = 1")).select("timestamp", "sensor_id", "metric_id", "value")
+
+
+@query(f"{LATEST} select seq, timestamp, sensor_id, metric_id, value from live where timestamp between 1704153600 and 1706745600 and metric_id in (1, 3)")
+def f1_time_range(spark, d):
+    rows = A.telemetry(spark, d)
+    found = [telemetry.sift(rows, start=1_704_153_600, end=1_706_745_600, metric_id=m) for m in (1, 3)]
+    return found[0].unionByName(found[1]).select("seq", "timestamp", "sensor_id", "metric_id", "value")
 
 
 @query(f"with {TELEMETRY}, ends as (select sensor_id, metric_id, timestamp, max(seq) as e from telemetry where flags & 1 = 1 group by all) select t.seq, t.timestamp, t.sensor_id, t.metric_id, t.value from telemetry t left join ends using (sensor_id, metric_id, timestamp) where e is null or t.seq > e")
@@ -202,11 +212,13 @@ def g6_erasures(spark, d):
     return governance.erasures(request(0).unionByName(request(1)), A.marks(spark, d), holds).select("record_index", "subject_id")
 
 
-@query("select subject_id, count(*) as links from (select o_custkey % 50 as subject_id from orders) group by subject_id having false")
+@query("select o_custkey % 50 as subject_id, count(*) as links from orders where o_orderkey % 97 = 0 and o_orderstatus <> 'X' group by 1")
 def w7_broken_links(spark, d):
+    """Chains of which some rows' bodies were changed after they were hashed."""
     rows = A.table(spark, d, "orders").select((F.col("o_custkey") % 50).alias("subject_id"), "o_orderkey", "o_orderstatus")
     chain = governance.chained(rows, ["subject_id"], "o_orderkey", F.col("o_orderstatus"))
-    return governance.broken_links(chain, ["subject_id"], "o_orderkey", F.col("o_orderstatus")).groupBy("subject_id").agg(F.count("*").alias("links"))
+    tampered = chain.withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 97 == 0, "X").otherwise(F.col("o_orderstatus")))
+    return governance.broken_links(tampered, ["subject_id"], "o_orderkey", F.col("o_orderstatus")).groupBy("subject_id").agg(F.count("*").alias("links"))
 
 
 @query("with recursive r as (select o_custkey % 50 as subject_id, o_orderkey, o_orderstatus, row_number() over (partition by o_custkey % 50 order by o_orderkey) as i from orders), c as (select subject_id, i, sha256('' || '|' || o_orderstatus) as hash from r where i = 1 union all select r.subject_id, r.i, sha256(c.hash || '|' || r.o_orderstatus) from c join r on r.subject_id = c.subject_id and r.i = c.i + 1) select subject_id, arg_max(hash, i) as head from c group by subject_id")
@@ -532,6 +544,12 @@ def _commits(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.concat(F.lit("c"), "s_suppkey").alias("seal"), F.array_compact(F.array(parent(3), parent(5))).alias("parents"), F.col("s_suppkey").alias("seq"))
 
 
+@query("select printf('0x%016x', doc_id) as src, printf('0x%016x', doc_id * 7 + 1) as dst, 'related_to' as edge_type, doc_id as seq from labels")
+def r4_research_edges(spark, d):
+    key = F.col("doc_id")
+    return graph.from_research(A.table(spark, d, "labels").select(key.alias("subject_hash"), (key * 7 + 1).alias("object_hash"), F.lit(-1).alias("predicate_id"), key.alias("seq")))
+
+
 @query("select 'c' || s_suppkey as seal from supplier where s_suppkey + 3 > (select max(s_suppkey) from supplier)")
 def r6_leaves(spark, d):
     return graph.leaves(_commits(spark, d)).select("seal")
@@ -577,14 +595,23 @@ def j8_voiding(spark, d):
     return rows.select(F.col("id").alias("voided")).join(rows.select(F.col("voids").alias("voided"), F.col("id").alias("voiding")), "voided")
 
 
-@query("select event_id as seq, case when event_id % 10 in (0, 1) then 'stored' when event_id % 10 = 2 then 'duplicate' else 'conflict' end as outcome from events where event_id % 10 < 4")
+@query("select event_id as seq, case when event_id % 10 in (2, 4) then 'duplicate' when event_id % 10 in (3, 5) then 'conflict' when event_id % 10 in (7, 8) then 'voids_a_voiding_statement' else 'stored' end as outcome from events")
 def x3_stored(spark, d):
-    """Of each ten, the first two bring new ids; the third repeats the first, the fourth has its id and another body."""
-    rows = A.table(spark, d, "events").filter("event_id % 10 < 4")
-    source = F.when(F.col("event_id") % 10 < 2, F.col("event_id")).otherwise(F.floor(F.col("event_id") / 10) * 10)
-    body = F.when(F.col("event_id") % 10 == 3, F.lit("other")).otherwise(source.cast("string"))
-    incoming = rows.select(A.statement_id(source).alias("id"), body.alias("raw_json"), F.col("event_id").alias("seq"), F.lit(None).cast("string").alias("voids"))
-    return lrs.stored(incoming.limit(0), incoming).select("seq", "outcome")
+    """Of each ten: new ids; a repeat and a conflict within the batch, then of what was there; voiding, and voiding a voiding one, new or there."""
+    rows = A.table(spark, d, "events")
+    key, n = F.col("event_id"), F.col("event_id") % 10
+    ten = key - n
+    there = lambda k: A.statement_id(k + 1_000_000_000)
+    text = F.lit(None).cast("string")
+    existing = rows.filter("event_id % 10 in (4, 5, 8)").select(there(key).alias("id"), F.when(n == 5, "old").otherwise(key.cast("string")).alias("raw_json"), (key - 2_000_000_000).alias("seq"), F.when(n == 8, there(ten + 4)).otherwise(text).alias("voids"))
+    same = n.isin(2, 3)
+    incoming = rows.select(
+        F.when(same, A.statement_id(ten)).when(n.isin(4, 5), there(key)).otherwise(A.statement_id(key)).alias("id"),
+        F.when(n == 3, "other").when(same, ten.cast("string")).otherwise(key.cast("string")).alias("raw_json"),
+        key.alias("seq"),
+        F.when(n == 6, A.statement_id(ten)).when(n == 7, A.statement_id(key - 1)).when(n == 8, there(key)).otherwise(text).alias("voids"),
+    )
+    return lrs.stored(existing, incoming).select("seq", "outcome")
 
 
 STATUS = "case when verb like '%/completed' then case success when true then 'passed' when false then 'failed' else 'completed' end when verb like '%/attempted' then 'attempted' when verb like '%/registered' then 'registered' end"
@@ -661,10 +688,22 @@ def x12_person_object(spark, d):
     return A.table(spark, d, "events").select(F.col("event_id").alias("seq"), lrs.person_object(agent).alias("person"))
 
 
-@query(f"with {STATEMENTS}, v(verb_id, verb_label) as (values (1, 'read'), (2, 'reviewed'), (8, 'cites')) select seq, case seq % 2 when 0 then 2 end::INT as verb_id from statements")
+@query("select event_id as seq, case event_id % 4 when 0 then 2 when 3 then 7 end::INT as verb_id from events")
 def x10_verb_labels(spark, d):
-    rows = A.statements(spark, d).withColumn("verb", F.when(F.col("seq") % 2 == 0, "http://x/verbs/reviewed").otherwise("http://x/verbs/nothing"))
-    return lrs.with_verb_labels(rows).select("seq", "verb_id")
+    """Registered verbs by their whole IRI: an own one, foreign ones that only end alike, and a listed public one."""
+    n = F.col("seq") % 4
+    verb = F.when(n == 0, lrs.VERB_BASE + "reviewed").when(n == 1, "http://other.example/reviewed").when(n == 2, "reviewed").otherwise("http://purl.org/spar/cito/cites")
+    return lrs.with_verb_labels(A.statements(spark, d).withColumn("verb", verb)).select("seq", "verb_id")
+
+
+@query("select event_id as seq, case event_id % 4 when 1 then 'id is no UUID' when 2 then 'verb id is no IRI' else 'scaled score is out of range' end as why from events where event_id % 4 > 0")
+def t7_violations(spark, d):
+    n = F.col("event_id") % 4
+    ident = F.when(n == 1, "no").otherwise(A.statement_id(F.col("event_id")))
+    verb = F.when(n == 2, "x y").otherwise("http://example.org/verbs/asked")
+    score = F.when(n == 3, 1.5).otherwise(0.5)
+    body = F.to_json(F.struct(ident.alias("id"), F.struct(F.lit("mailto:a@example.org").alias("mbox")).alias("actor"), F.struct(verb.alias("id")).alias("verb"), F.struct(F.lit("http://example.org/1").alias("id")).alias("object"), F.struct(F.struct(score.alias("scaled")).alias("score")).alias("result")))
+    return lrs.violations(A.table(spark, d, "events").select(F.col("event_id").alias("seq"), body.alias("raw_json")))
 
 
 @query(f"with {STATEMENTS} select (select count(*) from statements where not (seq % 9 = 0 and seq % 27 <> 0)) as kept, (select count(*) from statements where seq % 9 = 0 and seq % 27 <> 0) as receipts")
@@ -844,13 +883,22 @@ def j5_bibliography(spark, d):
     return evidence.bibliography(rows, rows.filter("paper_id % 4 = 0").select("paper_id", F.concat(F.lit("10.5/"), "paper_id").alias("doi"))).select("paper_id", "doi")
 
 
-@query("select status, count(*) as n from (select case doc_id % 4 when 0 then 'unchanged' when 1 then 'changed' when 2 then 'retracted' else 'unreachable' end as status from labels) group by 1")
+@query("""with p as (select doc_id, case when doc_id % 5 = 0 then 'o' when doc_id % 3 > 0 then 'p' else 's' end as kind from labels)
+  select doc_id as paper_id, kind || doc_id as source, case kind when 'o' then 'unchanged' when 'p' then case when doc_id % 2 = 0 then 'changed' else 'retracted' end else case when doc_id % 2 = 0 then 'unreachable' else 'unchanged' end end as status from p""")
 def a16_recheck(spark, d):
+    """Overrides of some papers, papers of most, statements of all; a second URL of each never counts."""
     rows = A.table(spark, d, "labels")
-    prints = rows.select(F.col("doc_id").alias("paper_id"), F.lit("h").alias("content_sha256"))
-    urls = rows.select(F.col("doc_id").alias("paper_id"), F.concat(F.lit("u"), "doc_id").alias("url"), F.col("doc_id").alias("seq"))
-    fetched = rows.filter("doc_id % 4 <> 3").select(F.concat(F.lit("u"), "doc_id").alias("url"), F.when(F.col("doc_id") % 4 == 0, "h").otherwise("g").alias("content_sha256"), (F.col("doc_id") % 4 == 2).alias("retracted"))
-    return evidence.recheck(prints, urls.limit(0), urls, urls.limit(0), fetched).groupBy("status").agg(F.count("*").alias("n"))
+    key = F.col("doc_id")
+    prints = rows.select(key.alias("paper_id"), F.lit("h").alias("content_sha256"))
+
+    def urls(kind: str, which: str) -> DataFrame:
+        some = rows.filter(which)
+        first = some.select(key.alias("paper_id"), F.concat(F.lit(kind), key).alias("url"), (key * 2).alias("seq"))
+        return first.unionByName(some.select(key.alias("paper_id"), F.concat(F.lit("late"), key).alias("url"), (key * 2 + 1).alias("seq")))
+
+    sha = lambda kind: F.when((F.lit(kind) == "p"), "g").otherwise("h")
+    read = [rows.filter(which).select(F.concat(F.lit(kind), key).alias("url"), sha(kind).alias("content_sha256"), ((F.lit(kind) == "p") & (key % 2 == 1)).alias("retracted")) for kind, which in (("o", "true"), ("p", "true"), ("s", "doc_id % 2 = 1"))]
+    return evidence.recheck(prints, urls("o", "doc_id % 5 = 0"), urls("p", "doc_id % 3 > 0"), urls("s", "true"), files.unioned(*read))
 
 
 # Text functions and files.
@@ -870,9 +918,42 @@ def s14_projection(spark, d):
     return A.telemetry(spark, d).filter("value > 40").select("seq", "value")
 
 
-@query("select tier, count(*) as n from (select event_id % 4 as tier from events) where tier >= 2 group by 1")
+@query("select event_id % 4 as tier, event_id as seq, value from events where event_id % 4 >= 2")
 def s18_cold_tiers(spark, d):
-    return A.telemetry(spark, d).withColumn("tier", F.col("seq") % 4).filter("tier >= 2").groupBy("tier").agg(F.count("*").alias("n"))
+    """Records of the colder tiers, as they were moved to their folders."""
+    folder = f"{shared_folder(spark)}/archives/{uuid.uuid4().hex}"
+    archive = files.Archive(spark, f"{folder}/warm")
+    A.telemetry(spark, d).write.parquet(f"{folder}/warm/readings")
+    archive.cold("readings", F.col("seq") % 4, 2, f"{folder}/cold")
+    return spark.read.parquet(f"{folder}/cold").select(F.col("tier").cast("bigint").alias("tier"), "seq", "value")
+
+
+@query("select event_id as timestamp, user_id as sensor_id, event_id % 7 as metric_id, event_id / 4 as value from events")
+def s7_csv_readings(spark, d):
+    """Readings exported as CSV under other names, and imported."""
+    path = f"{shared_folder(spark)}/imports/{uuid.uuid4().hex}"
+    rows = A.table(spark, d, "events").select(F.col("event_id").alias(" Time"), F.col("user_id").alias("SENSOR"), (F.col("event_id") % 7).alias("metric"), (F.col("event_id") / 4).alias("val"))
+    rows.write.option("header", True).option("ignoreLeadingWhiteSpace", False).csv(path)
+    return files.readings_from_csv(files.read_csv(spark, path), 0)
+
+
+@query("select c_custkey::VARCHAR as key, c_name as name, c_nationkey as nation from customer")
+def s8_json_documents(spark, d):
+    """An array of objects as a JSON file, imported as documents."""
+    path = f"{shared_folder(spark)}/imports/{uuid.uuid4().hex}"
+    item = F.to_json(F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation")))
+    lists = A.table(spark, d, "customer").groupBy(F.floor(F.col("c_custkey") / 500)).agg(F.concat(F.lit("["), F.concat_ws(",", F.collect_list(item)), F.lit("]")).alias("value"))
+    lists.select("value").repartition(4).write.option("lineSep", "\n").option("maxRecordsPerFile", 1).text(path)
+    found = files.documents_from_json(spark, path, "c")
+    return found.select("key", F.get_json_object("content", "$.name").alias("name"), F.get_json_object("content", "$.nation").cast("int").alias("nation"))
+
+
+@query("select o_orderkey as paper_id, 1990 + o_orderkey % 30 as year from orders")
+def s10_ndjson(spark, d):
+    """Papers as NDJSON, read by their record type."""
+    path = f"{shared_folder(spark)}/imports/{uuid.uuid4().hex}"
+    A.table(spark, d, "orders").select(F.col("o_orderkey").alias("paper_id"), (F.col("o_orderkey") % 30 + 1990).alias("year")).write.json(path)
+    return files.read_ndjson(spark, path, "academic_papers").select("paper_id", F.col("year").cast("bigint").alias("year"))
 
 
 @query("select doc_id, len(list_filter(string_split_regex(text, '[^\\p{L}\\p{N}]+'), lambda w: w <> '')) as n from documents")
@@ -909,18 +990,19 @@ def s9_csv_lines(spark, d):
     return files.csv_lines(A.table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.concat("c_mktsegment", F.lit(", x")).alias("name")))
 
 
-@query("select conv_id, count(*) as n_messages from conversations group by conv_id")
+@query("select conv_id, row_number() over (partition by conv_id order by turn) - 1 as place, role, text as content from conversations")
 def s20_chatml(spark, d):
     made = files.chatml(A.turns(spark, d))
-    return made.select("conv_id", F.json_array_length(F.get_json_object("json", "$.messages")).cast("bigint").alias("n_messages"))
+    said = F.from_json(F.get_json_object("json", "$.messages"), "array<struct<role:string,content:string>>")
+    return made.select("conv_id", F.posexplode(said).alias("place", "m")).select("conv_id", F.col("place").cast("bigint").alias("place"), "m.role", "m.content")
 
 
-@query("select conv_id, count(*) filter (role = 'user') as n_human from conversations where conv_id % 2 = 0 group by conv_id")
+@query("select conv_id, row_number() over (partition by conv_id order by turn) - 1 as place, case role when 'user' then 'human' when 'assistant' then 'gpt' else role end as said_by, text as value from conversations where conv_id % 2 = 0")
 def s20_sharegpt(spark, d):
     permitted = A.turns(spark, d).filter("conv_id % 2 = 0").select("conv_id").distinct()
     made = files.sharegpt(A.turns(spark, d), permitted)
     said = F.from_json(F.get_json_object("json", "$.conversations"), "array<struct<from:string,value:string>>")
-    return made.select("conv_id", F.size(F.filter(said, lambda x: x["from"] == "human")).cast("bigint").alias("n_human"))
+    return made.select("conv_id", F.posexplode(said).alias("place", "m")).select("conv_id", F.col("place").cast("bigint").alias("place"), F.col("m.from").alias("said_by"), "m.value")
 
 
 @query("select event_id as row, case when event_id % 3 = 0 then value end as value, case event_id % 3 when 1 then 'malformed' when 2 then 'not_found' end as error from events")

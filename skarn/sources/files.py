@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,14 +41,15 @@ class Archive:
         """Append rows in their order; ``bloom`` names a column whose files get a Bloom filter, ``sort`` a clustering.
 
         Rows are numbered without a global sort: those of each partition are counted, and a partition's rows follow
-        those of the partitions before it. Only one count for each partition reaches the driver.
+        those of the partitions before it. Only one count for each partition reaches the driver. Every append stages
+        its rows in a folder of its own, which the returned frame reads. One writer at a time appends to a table.
         """
         if name in REGISTRY:
             require_pack(REGISTRY[name].pack, self.mask)
         rows = rows.repartitionByRange(*sort).sortWithinPartitions(*sort) if sort else rows
-        staged = f"{self.path}/_staged/{name}"
+        staged = f"{self.path}/_staged/{uuid.uuid4().hex}/{name}"
         numbered = rows.withColumn("_id", F.monotonically_increasing_id())
-        numbered.write.mode("overwrite").parquet(staged)
+        numbered.write.parquet(staged)
         kept = self.spark.read.schema(numbered.schema).parquet(staged)
         counts = kept.groupBy(F.shiftright("_id", 33).alias("p")).count().orderBy("p").collect()
         start = self._next_seq(name)
@@ -92,9 +94,10 @@ class Archive:
 
 
 def snapshot(tables: dict[str, DataFrame], marks: DataFrame) -> dict[str, DataFrame]:
-    """All tables with their hidden rows, and of the marks only quarantine, withdrawal and legal hold.
+    """All tables with their hidden rows as they stand, and of the marks only quarantine, withdrawal and legal hold.
 
-    Rows get new coordinates in order of ``seq``; marks follow theirs through the map of old to new.
+    Whoever takes a snapshot in appends its tables, which gives their rows new coordinates, and lets the marks follow
+    through the map of old to new (``remapped``).
     """
     kinds = (MARKS["quarantine"], MARKS["consent_withdrawn"], MARKS["legal_hold"])
     return {**tables, "marks": marks.filter(F.col("mark_kind").isin(*kinds))}

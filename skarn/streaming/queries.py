@@ -61,17 +61,16 @@ def k3_latest_live(spark, sf_dir):
 
 @query("select user_id % 20 as session, row_number() over (partition by user_id % 20 order by event_id) as delta_seq, 'applied' as outcome from events")
 def k7_in_sequence(spark, sf_dir):
-    """Deltas numbered by their session: all are applied, none is a gap or a replay."""
-    path = f"{sf_dir}/events.parquet"
+    """Deltas numbered by their session, arriving mixed over four micro-batches: all are applied in the end, none is lost."""
     from pyspark.sql import Window
 
-    rows = spark.read.parquet(path).select((F.col("user_id") % 20).cast("string").alias("session"), F.row_number().over(Window.partitionBy(F.col("user_id") % 20).orderBy("event_id")).cast("bigint").alias("delta_seq"))
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("user_id") % 20).cast("string").alias("session"), F.row_number().over(Window.partitionBy(F.col("user_id") % 20).orderBy("event_id")).cast("bigint").alias("delta_seq"), F.xxhash64("event_id").alias("mixed"))
     folder = f"{shared_folder(spark)}/deltas/{uuid.uuid4().hex}"
-    rows.write.parquet(folder)
-    return _drained(spark, ingest.in_sequence(ingest.source(spark, folder, rows.schema, 1000))).select(F.col("session").cast("bigint").alias("session"), "delta_seq", "outcome")
+    rows.repartition(4, "mixed").sortWithinPartitions("mixed").drop("mixed").write.parquet(folder)
+    return _drained(spark, ingest.in_sequence(ingest.source(spark, folder, rows.drop("mixed").schema, 1), hold=True)).select(F.col("session").cast("bigint").alias("session"), "delta_seq", "outcome")
 
 
-@query()
+@query("with recursive r as (select (user_id % 20)::VARCHAR as device, event_id as seq, event_type as payload, row_number() over (partition by user_id % 20 order by event_id) as i from events), c as (select device, i, seq, '' as prev_seal, sha256('|' || seq || '|' || payload) as seal from r where i = 1 union all select r.device, r.i, r.seq, c.seal, sha256(c.seal || '|' || r.seq || '|' || r.payload) from c join r on r.device = c.device and r.i = c.i + 1) select device, seq, prev_seal, seal from c")
 def k5_sealed(spark, sf_dir):
     """Each record's seal covers the one before it on its device."""
     rows = _events(spark, sf_dir).select((F.col("user_id") % 20).cast("string").alias("device"), F.col("event_id").alias("seq"), F.col("event_type").alias("payload"))

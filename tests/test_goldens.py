@@ -218,9 +218,12 @@ def test_statement_rules(spark):
 
 
 def test_profile_rules(spark):
-    bad = raw_table(spark, statement(1, "approved"), statement(2, "approved", result={"success": True}), statement(3, "cites", object={"objectType": "Agent"}), statement(4, "reviewed", object={"id": "no iri"}), statement(5, "unknown", object={"id": "no iri"}))
-    assert {r.seq: r.why for r in lrs.profile_violations(bad).collect()} == {1: "success is missing", 3: "cited work is missing", 4: "activity id is no IRI"}
-    assert values(lrs.with_verb_labels(lrs.parsed(bad)), "seq", "verb_id") == [(1, 3), (2, 3), (3, 7), (4, 2), (5, None)]
+    base = "http://adlnet.gov/expapi/verbs/"
+    bad = raw_table(spark, statement(1, "approved"), statement(2, "approved", result={"success": True}), statement(3, "cited", object={"objectType": "Agent"}), statement(4, "reviewed", object={"id": "no iri"}), statement(5, "unknown", object={"id": "no iri"}))
+    assert {r.seq: r.why for r in lrs.profile_violations(bad, base).collect()} == {1: "success is missing", 3: "cited work is missing", 4: "activity id is no IRI"}
+    assert values(lrs.with_verb_labels(lrs.parsed(bad), base), "seq", "verb_id") == [(1, 3), (2, 3), (3, 7), (4, 2), (5, None)]
+    foreign = spark.createDataFrame([(1, "http://other.example/approved"), (2, "http://purl.org/spar/cito/cites"), (3, lrs.VERB_BASE + "approved"), (4, "approved")], "seq long, verb string")
+    assert values(lrs.with_verb_labels(foreign), "seq", "verb_id") == [(1, None), (2, 7), (3, 3), (4, None)]
 
 
 def test_projections_replay(spark):
@@ -330,6 +333,29 @@ def test_streams_resume(spark, sf, tmp_path):
             rows.withColumn("delta_seq", F.explode(F.array(F.lit(3).cast("long"), F.lit(4).cast("long")))).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
 
 
+def test_streams_mixed_arrival(spark, tmp_path):
+    """More rows of a session than an Arrow batch holds, in any order, in one micro-batch and in several."""
+    rows = spark.range(1, 60_001).select(F.lit("s").alias("session"), F.col("id").alias("delta_seq"), F.col("id").alias("seq"), F.lit("p").alias("payload"), F.lit("d").alias("device"))
+    rows.repartition(3, F.xxhash64("seq")).sortWithinPartitions(F.xxhash64("seq")).write.parquet(str(tmp_path / "in"))
+    for name, files_per_batch in (("one", 16), ("several", 1)):
+        stream = ingest.in_sequence(ingest.source(spark, str(tmp_path / "in"), rows.schema, files_per_batch), hold=True)
+        ingest.run(stream, ingest.to_parquet(str(tmp_path / name)), str(tmp_path / f"state_{name}")).awaitTermination()
+        found = spark.read.parquet(str(tmp_path / name / "batch=*"))
+        assert found.groupBy("outcome").agg(F.count("*").alias("n"), F.countDistinct("delta_seq").alias("d")).collect() == [("applied", 60_000, 60_000)]
+    ingest.run(ingest.sealed(ingest.source(spark, str(tmp_path / "in"), rows.schema)), ingest.to_parquet(str(tmp_path / "seals")), str(tmp_path / "state_seals")).awaitTermination()
+    seals = {r.seq: (r.prev_seal, r.seal) for r in spark.read.parquet(str(tmp_path / "seals/batch=*")).collect()}
+    assert len(seals) == 60_000 and seals[1][0] == "" and all(seals[i + 1][0] == seals[i][1] for i in range(1, 60_000))
+
+
+def test_long_chains(spark):
+    """A chain of 10,000 first parents, and cycles, in a logarithm of rounds."""
+    commits = spark.range(10_000).select(F.col("id").cast("string").alias("seal"), F.when(F.col("id") > 0, F.array((F.col("id") - 1).cast("string"))).otherwise(F.array()).alias("parents"), F.col("id").alias("seq"))
+    found = graph.log(commits)
+    assert found.agg(F.count("*"), F.count_if(F.col("depth") + F.col("node").cast("int") == 9999)).first() == (10_000, 10_000)
+    ring = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("d", "b")], "src string, dst string")
+    assert sorted(map(tuple, graph.chain(ring, "a").collect())) == [("a", 0), ("b", 1), ("c", 2), ("d", 3)]
+
+
 def test_stream_hulls_and_sessions(spark, sf):
     box = ingest.hulls(spark.createDataFrame([(1, 0.0, 1.0, 2.0), (1, 4.0, -1.0, 2.0)], "robot_id long, px double, py double, pz double")).first()
     assert (box.min_px, box.max_px, box.min_py, box.n) == (0.0, 4.0, -1.0, 2)
