@@ -113,6 +113,6 @@ def keep_one(docs: DataFrame, marks: DataFrame, roots: DataFrame) -> DataFrame:
     tied = goes.filter("first_")
     if tied.isEmpty():
         return kept
-    tied = rows.join(small(tied), same(tied)).select(F.struct(*(rows[c] for c in docs.columns)).alias("row_"), "k_", "d_")
+    tied = rows.join(small(tied), same(tied)).select(F.struct(*(rows[c] for c in docs.columns)).alias("row_"), tied["k_"].alias("k_"), tied["d_"].alias("d_"))
     best = tied.groupBy("k_", "d_").agg(F.min_by("row_", F.to_json("row_")).alias("row_"))
     return kept.unionByName(best.select("row_.*"))

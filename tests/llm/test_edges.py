@@ -23,7 +23,7 @@ ROWS = [
 ]
 ITEMS = [(1, "un deux trois quatre cinq six"), (2, None), (3, ""), (4, "others of"), (4, "others of")]
 #: Names that operators use inside.
-CLASH = ("fp", "v", "cls", "node", "root", "a", "b", "_keep", "_hit", "_rejected", "fingerprint", "component_id", "spans", "ids", "votes", "n", "kept", "path", "key", "block", "word", "draw", "first", "host", "rule", "size", "item_id", "shard", "start", "lang_pred", "score", "dir", "up", "license", "blocked", "label", "prediction", "features")
+CLASH = ("fp", "v", "cls", "node", "root", "a", "b", "_keep", "_hit", "_rejected", "fingerprint", "component_id", "spans", "ids", "votes", "n", "kept", "path", "key", "block", "word", "draw", "first", "host", "rule", "size", "item_id", "shard", "start", "lang_pred", "score", "dir", "up", "license", "blocked", "label", "prediction", "features", "key_", "k_", "d_", "r_", "row_", "rows_", "band", "bands", "signature")
 
 
 @pytest.fixture(scope="module")
