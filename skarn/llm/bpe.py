@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, map_texts
 
 #: Fixed values of the vocabulary's file format: splits of a text, and the sign of a word's end.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
@@ -204,4 +204,4 @@ def coded(docs: DataFrame, vocabulary_path: str, take, columns: list[tuple[str,
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, c[1]) for x, c in zip(zip(*made, strict=True), columns, strict=True))], names=names)
 
     schema = ", ".join(["doc_id long", *(f"{c[0]} {c[2]}" for c in columns)])
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return map_texts(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, schema)

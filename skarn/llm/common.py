@@ -9,10 +9,13 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 #: Rows of a table of a few numbers a row at most that is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: Rows of an Arrow batch at most where batches hold texts.
+BATCH_ROWS = 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,6 +60,19 @@ def chunks(items: list, size: int) -> Iterator[list]:
         yield items[i : i + size]
 
 
+def map_texts(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` with at most ``BATCH_ROWS`` rows in a batch.
+
+    An executor holds each batch of texts several times (buffers that grow by doubling, the worker's copy, the answer), so
+    it is rows in a batch and not in a table that its memory follows. The bound is a setting of the session and stays
+    set; a session with a smaller one keeps its own.
+    """
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def keep_rows(docs: DataFrame, judge_of: Callable[[], Callable[[list[str | None]], list[bool]]], together: int = 512) -> DataFrame:
     """Rows of ``docs`` whose ``text`` a judge keeps, all columns as they were; one pass, nothing shuffled.
 
@@ -73,7 +89,7 @@ def keep_rows(docs: DataFrame, judge_of: Callable[[], Callable[[list[str | None]
                 if kept.num_rows:
                     yield kept
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_texts(docs, run, docs.schema)
 
 
 def fresh_name(docs: DataFrame, name: str) -> str:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, discard, keep_rows, written
+from .common import chunks, discard, keep_rows, map_texts, written
 
 RUN = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
@@ -345,7 +345,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 tags, scores = scorer.predict(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(tags, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return map_texts(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.35) -> DataFrame:

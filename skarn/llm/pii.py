@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_texts
+
 #: Kinds in the order in which spans of one start are listed; the first four are always kept, the others by score.
 BASE = ("email", "ip", "card", "phone")
 #: Characters on either side of a span in which context words count, and what one adds to the score or takes from it.
@@ -185,5 +187,5 @@ def redact(docs: DataFrame) -> DataFrame:
             yield batch.set_column(at, "text", texts)
 
     out = docs.withColumn("text", F.col("text").cast("string"))
-    out = out.mapInArrow(run, out.schema)
+    out = map_texts(out, run, out.schema)
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
